@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .simhash import near_groups
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir), words=4, distance=4)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +30,7 @@ FROM t WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id NULLS LAST)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": op6_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES: dict[str, str] = {"op9_exact_dedup": _OP9}
