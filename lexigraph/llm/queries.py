@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .line_dedup import dedup_lines
 from .mixing import mix, plain_share
 from .simhash import near_groups
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir), with_text=False).drop("kept_text")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
     return mix(docs, quality=plain_share(F.col("text")))
@@ -51,9 +56,20 @@ SELECT doc_id, size, source_size, target,
 FROM k
 """
 
+_OP4 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (SELECT r, doc_id, lines, list_transform(lines, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM d),
+e AS (SELECT r, doc_id, unnest(lines) AS line, unnest(keys) AS key, generate_subscripts(lines, 1) AS p FROM k),
+h AS (SELECT key, count(DISTINCT r) AS n, max(coalesce(doc_id, -9223372036854775808)) AS top FROM e WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3)
+SELECT any_value(e.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE h.top <> coalesce(e.doc_id, -9223372036854775808)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE h.top IS NULL OR h.top = coalesce(e.doc_id, -9223372036854775808)), '')) AS kept_sha256
+FROM e LEFT JOIN h USING (key) GROUP BY e.r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op5_mixing": _OP5, "op9_exact_dedup": _OP9}
+ORACLES: dict[str, str] = {"op4_line_dedup": _OP4, "op5_mixing": _OP5, "op9_exact_dedup": _OP9}
