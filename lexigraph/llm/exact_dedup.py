@@ -213,7 +213,9 @@ def exact_groups(docs: DataFrame, *, huge: int = 16 << 20, primes: tuple[int, in
         keyed = prints.join(twofold, list(KEY), "left").withColumn("exact", F.when(F.col("twofold"), F.col("text_sha256")).otherwise(""))
         key = [*KEY, "exact"]
     best = keyed.groupBy(*key).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_cp")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))).alias("best"))
-    joined = keyed.join(best.where("group_size > 1"), key, "left")
+    # Written, so that the join's two sides are plain exchanges: Spark then splits the partition of a hot text, or broadcasts.
+    best = materialise(best.where("group_size > 1"))
+    joined = keyed.join(best, key, "left")
     keep = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.c"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
