@@ -11,9 +11,14 @@ from .common import table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .mixing import mix, plain_share
+from .secrets import secret_spans
 from .simhash import near_groups
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir), with_text=False).drop("kept_text")
 
@@ -67,6 +72,7 @@ FROM e LEFT JOIN h USING (key) GROUP BY e.r
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
