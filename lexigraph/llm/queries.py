@@ -13,12 +13,17 @@ from .line_dedup import dedup_lines
 from .mixing import mix, plain_share
 from .secrets import secret_spans
 from .simhash import near_groups
+from .sketches import edited_prints
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_prints(table(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir), with_text=False).drop("kept_text")
 
@@ -73,6 +78,7 @@ FROM e LEFT JOIN h USING (key) GROUP BY e.r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op3_fingerprints": op3_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
