@@ -14,12 +14,17 @@ from .mixing import mix, plain_share
 from .secrets import secret_spans
 from .simhash import near_groups
 from .sketches import edited_prints
+from .toxicity import toxicity
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_prints(table(spark, sf_dir))
 
@@ -78,6 +83,7 @@ FROM e LEFT JOIN h USING (key) GROUP BY e.r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_toxicity": op2_toxicity,
     "op3_fingerprints": op3_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
