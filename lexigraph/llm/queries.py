@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .mixing import mix, plain_share
+from .pii import pseudonymised
 from .secrets import secret_spans
 from .simhash import near_groups
 from .sketches import edited_prints
@@ -46,6 +47,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir), key=b"a key for demonstration")
+
+
 #: DuckDB has no short name for the white space of the contracts.
 _WS = r"[\x20\x09-\x0D]"
 
@@ -89,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op4_line_dedup": _OP4, "op5_mixing": _OP5, "op9_exact_dedup": _OP9}
