@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix, plain_share
 from .pii import pseudonymised
 from .secrets import secret_spans
+from .shards import training_order
 from .simhash import near_groups
 from .sketches import edited_prints
 from .toxicity import toxicity
@@ -43,6 +44,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir), words=4, distance=4)
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(table(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op7_token_shards": op7_token_shards,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
 }
