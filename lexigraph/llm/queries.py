@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .mixing import mix, plain_share
+from .pieces import round_trip
 from .pii import pseudonymised
 from .secrets import secret_spans
 from .shards import training_order
@@ -48,6 +49,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(table(spark, sf_dir))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir))
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_token_shards": op7_token_shards,
+    "op8_pieces": op8_pieces,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
 }
