@@ -102,3 +102,13 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget
     middle = joined.where(at_edge).withColumn("upto", upto)
     chosen = (F.col("upto") - F.col("size") + F.col("size") / 2.0 <= F.col("rest")).cast("long")
     return plain.unionByName(middle.select(*out, (F.col("size") * (F.col("epochs") + chosen)).alias("taken")))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of `docs`, all columns, as often as it is taken; rows of which nothing is taken go. The rows of an id
+    are told apart by their sizes."""
+    options.setdefault("quality", plain_share(F.col("text")))
+    taken = mix(docs, **options).where(F.col("taken") > 0).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__times")).distinct()
+    rows = docs.withColumn("__words", word_count(F.col("text").cast("string")))
+    joined = rows.join(taken, rows["doc_id"].eqNullSafe(taken["__id"]) & (rows["__words"] == taken["__size"]))
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -13,6 +13,8 @@ passes on a spanning forest only; a ball of n near copies gives n - 1 links, not
 
 Components come from alternating large-star and small-star steps, each a written table.
 
+`similar_groups` uses the same on several shorter fingerprints at once, for documents that are alike but not almost the same.
+
 Null and empty texts have no words: fingerprint zero, linked like any other. Null ids are allowed, and sort after all others;
 repeated rows are one fingerprint, and so are in one component. An empty table gives an empty result.
 """
@@ -240,8 +242,167 @@ def near_groups(docs: DataFrame, *, words: int = 4, distance: int = 4) -> DataFr
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of `docs`, all columns, of which each component's smallest id stays."""
-    groups = near_groups(id_and_text(docs, id_col, text_col), words=words, distance=distance)
+def turned(similarity: float) -> float:
+    """The share of bits that differ between the fingerprints of two shingle sets of this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def tables_for(n: int, similarity: float, distance: int, recall: float) -> tuple[int, int]:
+    """(bits of a table, tables). Bits grow with the number of documents, so that chance meetings of a document stay few; tables
+    then suffice for `recall` of the pairs of this similarity to be within `distance` bits in one of them."""
+    bits = int(min(64, max(24, np.ceil(np.log2(max(2, n))) + 14)))
+    p, hit, term = turned(similarity), 0.0, (1 - turned(similarity)) ** bits
+    for k in range(distance + 1):
+        hit += term
+        term *= (bits - k) / (k + 1) * p / (1 - p)
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))
+
+
+def wide_simhash(data: bytes, words: int, bits: int, tables: int) -> bytes:
+    """`tables` fingerprints of `bits` bits each, from as many mixtures of the shingle hashes."""
+    hashes, out = shingle_hashes(data, words), []
+    with np.errstate(over="ignore"):
+        for t in range(tables):
+            x = (hashes + np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            out.append(majority(x ^ (x >> np.uint64(29))) >> (BITS - bits))
+    return np.array(out, _word(bits)).tobytes()
+
+
+def _word(bits: int) -> str:
+    return "<u4" if bits <= 32 else "<u8"
+
+
+def meet_wide(fps: np.ndarray, masks: np.ndarray, left: np.ndarray, free: list[int], radius: int, room: int, wide: np.ndarray, most: int, forest: Forest, names: np.ndarray) -> None:
+    """As `meet`, for one table of wide fingerprints: who meets is linked if the whole fingerprints differ in at most `most` bits.
+    On a variant each is compared with the one beside it and with the first, so a crowd costs what its members cost."""
+    if len(fps) < 2:
+        return
+    counts = [sum(len(m) for m in flips(free, n)) for n in range(radius + 1)]
+    if free and sum(np.bincount(left, minlength=radius + 1)[: radius + 1] * np.array(counts)) > room and len(fps) > 64:
+        own = np.arange(len(fps), dtype=np.uint64)
+        at, f, m, few = [], [], [], []
+        now, rest = free[:4], free[4:]
+        for n, table in enumerate(flips(now, radius)):
+            can = left >= n
+            at.append(np.repeat(own[can], len(table)))
+            f.append(np.repeat(fps[can], len(table)))
+            m.append((masks[can][:, None] ^ table[None, :]).ravel())
+            few.append(np.repeat(left[can] - n, len(table)))
+        at, f, m, few = (np.concatenate(x) for x in (at, f, m, few))
+        at = at.astype(np.int64)
+        group = np.zeros(len(f), np.int64)
+        for b in now:
+            group = group << 1 | ((f ^ m) >> np.uint64(b) & ONE).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            meet_wide(f[part], m[part], few[part], rest, radius, room, wide[at[part]], most, forest, names[at[part]])
+        return
+    variants, owners = [], []
+    for n, table in enumerate(flips(free, radius)):
+        own = left >= n
+        if len(table) and own.any():
+            variants.append(((fps ^ masks)[own][:, None] ^ table[None, :]).ravel())
+            owners.append(np.repeat(np.flatnonzero(own), len(table)))
+    variant, owner = np.concatenate(variants), np.concatenate(owners)
+    order = np.argsort(variant)
+    variant, owner = variant[order], owner[order]
+    same = np.concatenate(([False], variant[1:] == variant[:-1]))
+    hit = np.flatnonzero(same)
+    if not len(hit):
+        return
+    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    a, b = np.concatenate([owner[hit], owner[hit]]), np.concatenate([owner[hit - 1], owner[start[hit]]])
+    pairs = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
+    for i in range(0, len(pairs), 1 << 18):
+        a, b = pairs[i : i + (1 << 18)] // len(fps), pairs[i : i + (1 << 18)] % len(fps)
+        near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= most
+        for x, y in zip(names[a[near]].tolist(), names[b[near]].tolist(), strict=True):
+            forest.link(x, y)
+
+
+def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: int, distance: int = 4, n: int, group_rows: int = 1 << 15, room: int = 1 << 21) -> DataFrame:
+    """(u, v): links between nodes whose wide fingerprints are within `distance` bits in one table and `most` in all. prints:
+    (node, wide), distinct; of the `width` fingerprints in `wide` the first `tables` are hashed, all are compared."""
+    radius = distance // 2
+    k = int(min(16, max(2, np.ceil(np.log2(max(1, n / group_rows))))))
+    first, rest = list(range(bits - 1, bits - 1 - k, -1)), list(range(bits - k))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), _word(bits)).reshape(-1, width).astype(np.uint64)
+                at = np.arange(len(wide), dtype=np.uint64)
+                for t in range(tables):
+                    groups, rows, few = [], [], []
+                    for flipped, table in enumerate(flips(first, radius)):
+                        groups.append(((wide[:, t][:, None] ^ table[None, :]) >> np.uint64(bits - k)).ravel())
+                        rows.append(np.repeat(at, len(table)))
+                        few.append(np.full(len(table) * len(at), radius - flipped, np.int8))
+                    g, r = np.concatenate(groups).astype(np.int64), pa.array(np.concatenate(rows).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array((t << k | g).astype(np.int32)), part.column(0).take(r), part.column(1).take(r), pa.array(np.concatenate(few))], ["g", "node", "wide", "flips_left"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, group, held = Forest(), None, []
+
+        def close() -> None:
+            if held:
+                nodes, wide, left = (np.concatenate(x) for x in zip(*held, strict=True))
+                f = wide[:, group >> k]
+                masks = (f >> np.uint64(bits - k) ^ np.uint64(group & (1 << k) - 1)) << np.uint64(bits - k)
+                meet_wide(f, masks, left, rest, radius, room, wide, most, forest, nodes)
+                held.clear()
+
+        for batch in batches:
+            g, nodes, left = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
+            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), _word(bits)).reshape(-1, width).astype(np.uint64)
+            for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
+                if len(part):
+                    if group != int(g[part[0]]):
+                        close()
+                        group = int(g[part[0]])
+                    held.append((nodes[part], wide[part], left[part].astype(np.int64)))
+        close()
+        items = np.array([(u, forest.root(u)) for u in list(forest.up)], np.int64).reshape(-1, 2)
+        for i in range(0, len(items), 10000):
+            part = items[i : i + 10000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.max(1)), pa.array(part.min(1))], ["u", "v"])
+
+    rows = prints.select("node", "wide").mapInArrow(emit, "g int, node long, wide binary, flips_left byte")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(join, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.99, slack: float = 0.03, judged: int = 320) -> DataFrame:
+    """doc_id, component_id: groups of documents linked by an estimated Jaccard similarity of shingle sets of `similarity` or more.
+
+    At 0.8, two 64-bit fingerprints differ in some ten bits, too many for balls. So there are several shorter fingerprints, as
+    `tables_for` says; documents meet by ball hashing in any, and a pair is judged by all bits together, at
+    least `judged`. `slack` is what the estimate may lack."""
+    docs = id_and_text(docs)
+    n = docs.count()
+    bits, tables = tables_for(n, similarity, 4, recall)
+    width = max(tables, -(-judged // bits))
+    most = round(turned(similarity - slack) * bits * width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [wide_simhash(x, words, bits, width) for x in text_bytes(batch.column(1))]
+            node = np.array([xxhash.xxh64_intdigest(w, SEED) for w in wide], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(wide, pa.binary())], ["doc_id", "node", "wide"])
+
+    prints = materialise(docs.mapInArrow(run, "doc_id long, node long, wide binary"))
+    distinct = prints.groupBy("node").agg(F.first("wide").alias("wide"))
+    least = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    tied = components(wide_links(distinct, bits=bits, tables=tables, width=width, most=most, n=n)).withColumnRenamed("node", "tied")
+    rooted = least.join(tied, F.col("node") == F.col("tied"), "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("size")).where("size > 1")
+    found = rooted.join(groups, "root").select(F.col("node").alias("f"), "component")
+    return prints.join(found, F.col("node") == F.col("f"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, of which of each group of similar documents the one with the smallest id stays."""
+    groups = similar_groups(id_and_text(docs, id_col, text_col), **options)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

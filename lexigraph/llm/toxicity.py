@@ -281,10 +281,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, all columns, that the model doesn't call toxic."""
     model = train(docs, labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, m = docs.columns.index("text"), shared.value
+        m = shared.value
         for batch in batches:
             yield batch.filter(pa.array([m.score(t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
