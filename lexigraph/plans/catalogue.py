@@ -1,4 +1,7 @@
-"""The registered queries."""
+"""The registered queries and the SQL that states the same, gathered from their modules."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import lexical_queries
+
+MODULES = (lexical_queries,)
+QUERIES: dict = {name: query for module in MODULES for name, (query, _) in module.REGISTERED.items()}
+ORACLES: dict = {name: sql for module in MODULES for name, (_, sql) in module.REGISTERED.items() if sql}
