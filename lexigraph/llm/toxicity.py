@@ -7,7 +7,7 @@ the class, fitted by EM; the labels themselves are one voter more. Voters are no
 are estimated too, and a voter counts for less the more the others repeat it. A logistic regression learns the posterior labels from
 term counts and rates, and scores every whole text.
 
-Only the fit uses a bounded sample: at most `sample` labelled training rows, the first by a hash of their text. Counts of terms and
+Only the fit uses a bounded sample: at most `sample` labelled training rows, drawn by a hash. Counts of terms and
 scores cover everything. Language, source and id are no inputs, and rows held out (crc32 of the id, modulo 5, is 0) are never
 learned from.
 
@@ -147,96 +147,30 @@ class LabelModel:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     correlation: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
-        """EM from a first guess of the posteriors; returns the last. Every few rounds the correlations given the class are
-        estimated anew from what the rates leave unexplained."""
-        q, m = start.astype(np.float64), votes.shape[1]
-        self.weight = np.ones(m)
-        shown = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
-        for step in range(rounds):
-            self.prior = float(np.clip(q.mean(), 0.005, 0.5))
-            self.rates = np.stack([np.stack([(w @ x + 0.5) / (w.sum() + 1.5) for x in shown]) for w in (1 - q, q)])
-            if step % 5 == 4 or step == 0:
-                expected = np.stack([r[2] - r[0] for r in self.rates])
-                rest = votes - ((1 - q)[:, None] * expected[0] + q[:, None] * expected[1])
-                scale = np.sqrt((rest**2).mean(0)) + 1e-9
-                self.correlation = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
-                # The effective number of voters in a correlated group: each gets its share of one voice.
-                self.weight = 1 / np.maximum(np.clip(self.correlation, 0, 1).sum(1), 1.0)
-            q = self.posterior(votes)
-        return q
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        log = np.log(self.rates[1] / self.rates[0])
-        score = np.log(self.prior / (1 - self.prior)) + sum((votes == v).astype(np.float64) @ (log[v + 1] * self.weight) for v in (-1, 0, 1))
-        return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-
-
-class Voters:
-    """Votes of lists, patterns and the first terms of the vocabulary on one text."""
-
-    def __init__(self, vocabulary: list[str], lexicon: int) -> None:
-        self.first, self.size = vocabulary[:lexicon], len(vocabulary)
-        self.begins = np.array([t[-1] == "*" for t in self.first], bool)
-        self.names = [*LISTS, "shout", "masked", "address", "many", "dense", "none", *self.first]
-
-    def votes(self, text: str, c: np.ndarray, n: int) -> np.ndarray:
-        hits, fixed = c[: len(self.first)], c[self.size :]
-        total = hits[~self.begins].sum() + hits[self.begins].max(initial=0)
-        patterns = [bool(p.search(text)) for p in (SHOUT, MASKED, ADDRESS)]
-        sums = [total >= 3, n > 0 and total >= max(2, 0.02 * n), -1 if not total and not fixed.any() else 0]
-        own = (hits >= np.where(self.begins, 3, 1)) & (hits >= 0.005 * n)
-        return np.concatenate([fixed >= 2, patterns, sums, own]).astype(np.int8)
-
-
-def features(c: np.ndarray, n: int) -> np.ndarray:
-    """Counts and rates, damped."""
-    return np.concatenate([np.log1p(c), np.minimum(c * (100.0 / max(n, 20)), 5.0)]).astype(np.float32)
-
-
-def logistic(x: np.ndarray, q: np.ndarray, l2: float = 3.0, rounds: int = 250) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on soft labels, by accelerated gradient steps on scaled features."""
-    scale = np.sqrt((x.astype(np.float64) ** 2).mean(0)) + 1e-3
-    z = (x / scale).astype(np.float32)
-    w, b = np.zeros(z.shape[1], np.float32), float(np.log((q.mean() + 1e-3) / (1 - q.mean() + 1e-3)))
-    top = np.ones(z.shape[1], np.float32)
-    for _ in range(15):  # the largest curvature
-        top = z.T @ (z @ top)
-        top /= np.linalg.norm(top) + 1e-12
-    step = 1 / (0.25 * float(np.linalg.norm(z.T @ (z @ top))) / len(z) + l2 / len(z) + 0.25)
-    v, vb, was, wasb = w.copy(), b, w, b
-    for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ v + vb, -30, 30)))
-        w, b = v - step * (z.T @ (p - q).astype(np.float32) / len(z) + l2 / len(z) * v), vb - step * float((p - q).mean())
-        v, vb = w + k / (k + 3) * (w - was), b + k / (k + 3) * (b - wasb)
-        was, wasb = w, b
-    return (w / scale).astype(np.float64), b
+    def observed(labelled: DataFrame, vocabulary: list[str], lexicon: int) -> DataFrame:
+    """(toxic, n, counts, votes): what the fit needs of a row, taken where the row lies; arrays as bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters, words = Voters(vocabulary, lexicon), Vocabulary(vocabulary)
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                c, n = words.count(text or "")
+                out.append((n, c.tobytes(), voters.votes(text or "", c, n).tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True))], ["toxic", "n", "counts", "votes"])
 
-@dataclass
-class Model:
-    vocabulary: Vocabulary
-    weights: np.ndarray
-    bias: float
-    labels: LabelModel
-
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(features(*self.vocabulary.count(text)) @ self.weights + self.bias, -30, 30))))
-
-
-def fit(texts: list[str], toxic: np.ndarray, vocabulary: list[str], lexicon: int) -> Model:
-    """The label model and the classifier on a sample."""
-    voters, words = Voters(vocabulary, lexicon), Vocabulary(vocabulary)
-    votes, x = [], []
-    for text in texts:
-        c, n = words.count(text)
-        votes.append(voters.votes(text, c, n))
-        x.append(features(c, n))
+    return labelled.select("text", "toxic").mapInArrow(run, "toxic int, n long, counts binary, votes binary")
+
+
+def fit(rows: list, vocabulary: list[str]) -> Model:
+    """The label model and the classifier on a sample of `observed` rows."""
+    toxic = np.array([r.toxic for r in rows])
     labels = LabelModel()
-    every = np.column_stack([np.array(votes, np.int8), np.where(toxic == 1, 1, -1).astype(np.int8)])
-    q = labels.fit(every, np.where(toxic == 1, 0.9, 0.05))
-    weights, bias = logistic(np.array(x), q)
-    return Model(words, weights, bias, labels)
+    votes = np.column_stack([np.array([np.frombuffer(r.votes, np.int8) for r in rows]), np.where(toxic == 1, 1, -1).astype(np.int8)])
+    q = labels.fit(votes, np.where(toxic == 1, 0.9, 0.05))
+    weights, bias = logistic(np.array([features(np.frombuffer(r.counts, np.float32), r.n) for r in rows]), q)
+    return Model(Vocabulary(vocabulary), weights, bias, labels)
 
 
 def fallback() -> Model:
@@ -245,18 +179,19 @@ def fallback() -> Model:
     return Model(Vocabulary([]), weights, -3.0, LabelModel())
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, vocabulary: int = 400, lexicon: int = 48) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 8_000, vocabulary: int = 400, lexicon: int = 48) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. sample: the most rows that the fit sees."""
     docs = id_and_text(docs)
     gold = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     gold = gold.where(~is_held_out(F.col("doc_id")))
-    labelled = materialise(docs.join(gold, "doc_id").select("text", "toxic"))
+    labelled = materialise(docs.join(gold, "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)).alias("draw")))
     n = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return fallback()
     found = telling(term_counts(labelled), n[1], n[0], vocabulary)
-    rows = labelled.orderBy(F.xxhash64("text", F.lit(7)), "text").limit(sample).collect()
-    return fit([r.text or "" for r in rows], np.array([r.toxic for r in rows]), found, lexicon)
+    share = min(1.0, 0.97 * sample / (n[0] + n[1]))
+    rows = observed(labelled.where(F.col("draw") < int(share * (1 << 30))), found, lexicon).limit(sample).collect()
+    return fit(rows, found) if {r.toxic for r in rows} == {0, 1} else fallback()
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
