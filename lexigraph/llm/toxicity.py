@@ -1,14 +1,13 @@
 """Toxicity by weak supervision.
 
-Terms (words, and word beginnings, for languages that build words) are counted over all labelled training rows, and those that tell
+Terms (words, and word beginnings, for languages that build words) are counted over labelled training rows, and those that tell
 toxic from clean become lexicon voters, beside fixed word lists and text patterns. A generative label model then estimates, without
 trusting any one voter, how often each votes and how often it is right: a mixture of toxic and clean with voters independent given
 the class, fitted by EM; the labels themselves are one voter more. Voters are not independent, so their correlations given the class
 are estimated too, and a voter counts for less the more the others repeat it. A logistic regression learns the posterior labels from
 term counts and rates, and scores every whole text.
 
-Only the fit uses a bounded sample: at most `sample` labelled training rows, drawn by a hash. Counts of terms and
-scores cover everything. Language, source and id are no inputs, and rows held out (crc32 of the id, modulo 5, is 0) are never
+Only the fit uses a bounded sample: about `sample` labelled training rows at most, drawn by a hash. Scores cover everything. Language, source and id are no inputs, and rows held out (crc32 of the id, modulo 5, is 0) are never
 learned from.
 
 A null or empty text gets the score that the model gives a text without terms. A null id counts as training (it has no label); a
@@ -256,18 +255,22 @@ def fallback() -> Model:
     return Model(Vocabulary([]), weights, -3.0, LabelModel())
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 8_000, vocabulary: int = 400, lexicon: int = 48) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic. sample: the most rows that the fit sees."""
-    docs = id_and_text(docs)
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 30_000, fitted: int = 8_000, vocabulary: int = 400, lexicon: int = 48) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic. sample: about the most labelled training rows that the fit sees at all, to choose its
+    terms; fitted: the most of these that the label model and the regression see.
+
+    The sample is drawn from the labels, of which each id has one, by a hash at a fixed rate, so its size is bounded whatever the
+    input, and its ids can be broadcast: texts are read where they lie and not shuffled."""
     gold = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    gold = gold.where(~is_held_out(F.col("doc_id")))
-    labelled = materialise(docs.join(gold, "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)).alias("draw")))
+    gold = gold.where(~is_held_out(F.col("doc_id"))).withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)))
+    drawn = lambda n, most: F.col("draw") < int(min(1.0, most / max(1, n)) * (1 << 30))
+    n_gold = gold.count()
+    labelled = materialise(id_and_text(docs).join(F.broadcast(gold.where(drawn(n_gold, sample))), "doc_id").select("text", "toxic", "draw"))
     n = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return fallback()
     found = telling(term_counts(labelled), n[1], n[0], vocabulary)
-    share = min(1.0, 0.97 * sample / (n[0] + n[1]))
-    rows = observed(labelled.where(F.col("draw") < int(share * (1 << 30))), found, lexicon).limit(sample).collect()
+    rows = observed(labelled.where(drawn(n_gold, 0.97 * fitted)), found, lexicon).limit(fitted).collect()
     return fit(rows, found) if {r.toxic for r in rows} == {0, 1} else fallback()
 
 
