@@ -31,7 +31,8 @@ def find(text: str, old: str, near: int | None = None, around: int = 50) -> tupl
 
 
 def find_block(lines: list[str], first: str, last: str, inner: list[str] = (), near: int | None = None) -> tuple[int, int] | None:
-    """(start, end) of the block that starts and ends with these lines, blanks aside, and holds the inner ones in order."""
+    """(start, end) of the block that starts and ends with these lines, blanks aside, and holds the inner ones in order;
+    the shortest, or the nearest to the hint."""
     trimmed, found = [x.strip() for x in lines], []
     for s in (i for i, x in enumerate(trimmed) if x == first.strip()):
         for e in (j for j in range(s, len(trimmed)) if trimmed[j] == last.strip()):
@@ -39,7 +40,7 @@ def find_block(lines: list[str], first: str, last: str, inner: list[str] = (), n
             if all(any(x == y.strip() for x in it) for y in inner):
                 found.append((s, e + 1))
                 break
-    return min(found, key=lambda x: (abs(x[0] + 1 - near), x[0])) if found and near is not None else found[0] if found else None
+    return min(found, key=lambda x: (abs(x[0] + 1 - near), x[0])) if found and near is not None else min(found, key=lambda x: (x[1] - x[0], x[0]), default=None)
 
 
 def reindented(new: str, old: str) -> str:

@@ -55,7 +55,9 @@ def ancestors(symbols: DataFrame, depth: int = 8) -> DataFrame:
     now = symbols.select("id", F.col("parent").alias("up"), F.array().cast("array<string>").alias("path"))
     parents = symbols.select(F.col("id").alias("p"), F.col("name").alias("p_name"), F.col("parent").alias("p_up"))
     for _ in range(depth):
-        now = now.join(parents, F.col("up") == F.col("p"), "left").select("id", F.col("p_up").alias("up"), F.when(F.col("p").isNull(), F.col("path")).otherwise(F.concat("path", F.array("p_name"))).alias("path"))
+        if now.where("up is not null").isEmpty():
+            break
+        now = written(now.join(parents, F.col("up") == F.col("p"), "left").select("id", F.col("p_up").alias("up"), F.when(F.col("p").isNull(), F.col("path")).otherwise(F.concat("path", F.array("p_name"))).alias("path")))
     return now.select("id", "path")
 
 

@@ -44,8 +44,9 @@ def turns_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("session").applyInPandas(lambda key, rows: _steps(int(key[0]), rows, fresh())[0], STEPS)
 
 
-def turns_stream(events: DataFrame, idle: int = 1_800_000) -> DataFrame:
-    """The same of a stream; a session's state goes when it has been idle."""
+def turns_stream(events: DataFrame, idle: int | None = 1_800_000) -> DataFrame:
+    """The same of a stream; a session's state goes when it has been idle for so many milliseconds (None: never; a query that is to end
+    once all is read needs that, as one with a timeout waits for it)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -54,10 +55,11 @@ def turns_stream(events: DataFrame, idle: int = 1_800_000) -> DataFrame:
         now = json.loads(state.get[0]) if state.exists else fresh()
         done, now = _steps(int(key[0]), pd.concat(batches), now)
         state.update((json.dumps(now),))
-        state.setTimeoutDuration(idle)
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield done
 
-    return events.groupBy("session").applyInPandasWithState(step, STEPS, "state string", "append", "ProcessingTimeTimeout")
+    return events.groupBy("session").applyInPandasWithState(step, STEPS, "state string", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
 
 
 def polling(significance: list[tuple[float, float]], *, steps: tuple[int, ...] = (5, 10, 20, 30), idle: int = 2, enough: float = 1.0, quiet: float = 10.0) -> list[tuple[float, int, bool]]:
