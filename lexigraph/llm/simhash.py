@@ -280,33 +280,24 @@ def meet_wide(fps: np.ndarray, masks: np.ndarray, left: np.ndarray, free: list[i
         return
     counts = [sum(len(m) for m in flips(free, n)) for n in range(radius + 1)]
     if free and sum(np.bincount(left, minlength=radius + 1)[: radius + 1] * np.array(counts)) > room and len(fps) > 64:
-        own = np.arange(len(fps), dtype=np.uint64)
-        at, f, m, few = [], [], [], []
-        now, rest = free[:4], free[4:]
-        for n, table in enumerate(flips(now, radius)):
-            can = left >= n
-            at.append(np.repeat(own[can], len(table)))
-            f.append(np.repeat(fps[can], len(table)))
-            m.append((masks[can][:, None] ^ table[None, :]).ravel())
-            few.append(np.repeat(left[can] - n, len(table)))
-        at, f, m, few = (np.concatenate(x) for x in (at, f, m, few))
-        at = at.astype(np.int64)
-        group = np.zeros(len(f), np.int64)
-        for b in now:
-            group = group << 1 | ((f ^ m) >> np.uint64(b) & ONE).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            meet_wide(f[part], m[part], few[part], rest, radius, room, wide[at[part]], most, forest, names[at[part]])
+        # One value of the next four bits after the other: what it takes to get there is so many flips less.
+        low, rest = np.uint64(free[0]), free[4:]
+        for value in range(1 << len(free[:4])):
+            turn = (((fps ^ masks) >> low) & np.uint64((1 << len(free[:4])) - 1)) ^ np.uint64(value)
+            left_then = left - np.bitwise_count(turn).astype(np.int64)
+            can = np.flatnonzero(left_then >= 0)
+            meet_wide(fps[can], masks[can] ^ (turn[can] << low), left_then[can], rest, radius, room, wide[can], most, forest, names[can])
         return
     variants, owners = [], []
     for n, table in enumerate(flips(free, radius)):
         own = left >= n
         if len(table) and own.any():
             variants.append(((fps ^ masks)[own][:, None] ^ table[None, :]).ravel())
-            owners.append(np.repeat(np.flatnonzero(own), len(table)))
+            owners.append(np.repeat(np.flatnonzero(own).astype(np.int32), len(table)))
     variant, owner = np.concatenate(variants), np.concatenate(owners)
+    del variants, owners
     order = np.argsort(variant)
-    variant, owner = variant[order], owner[order]
+    variant, owner = variant[order], owner[order].astype(np.int64)
     same = np.concatenate(([False], variant[1:] == variant[:-1]))
     hit = np.flatnonzero(same)
     if not len(hit):
@@ -321,7 +312,7 @@ def meet_wide(fps: np.ndarray, masks: np.ndarray, left: np.ndarray, free: list[i
             forest.link(x, y)
 
 
-def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: int, distance: int = 4, n: int, group_rows: int = 1 << 15, room: int = 1 << 21) -> DataFrame:
+def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: int, distance: int = 4, n: int, group_rows: int = 1 << 15, room: int = 1 << 18) -> DataFrame:
     """(u, v): links between nodes whose wide fingerprints are within `distance` bits in one table and `most` in all. prints:
     (node, wide), distinct; of the `width` fingerprints in `wide` the first `tables` are hashed, all are compared."""
     radius = distance // 2
@@ -349,14 +340,14 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
         def close() -> None:
             if held:
                 nodes, wide, left = (np.concatenate(x) for x in zip(*held, strict=True))
-                f = wide[:, group >> k]
+                held.clear()
+                f = wide[:, group >> k].astype(np.uint64)
                 masks = (f >> np.uint64(bits - k) ^ np.uint64(group & (1 << k) - 1)) << np.uint64(bits - k)
                 meet_wide(f, masks, left, rest, radius, room, wide, most, forest, nodes)
-                held.clear()
 
         for batch in batches:
             g, nodes, left = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
-            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), _word(bits)).reshape(-1, width).astype(np.uint64)
+            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), _word(bits)).reshape(-1, width)
             for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
                 if len(part):
                     if group != int(g[part[0]]):
