@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bucket, conversation_terms
 from ..operators import events, fusion, lexical
-from .lexical_queries import QUERY, _one
+from .lexical_queries import _BMX, QUERY, _one, sql_postings, sql_query
 from .registry import Tables, registry
 
 REGISTERED, query = registry()
@@ -191,7 +191,7 @@ def benchmark_known_item_recall(t: Tables) -> DataFrame:
     return hits.groupBy(F.col("query").alias("item_id")).agg(F.min("rank").alias("first_rank"))
 
 
-@query()
+@query(f"WITH {sql_postings()}, {sql_query()}, {_BMX} SELECT doc AS doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, doc))::INT AS rank, 2 AS tier FROM sc QUALIFY rank <= 10")
 def fallback_tiers(t: Tables) -> DataFrame:
     """The BM25 ranking of a query, or what BMX+ gives if there is none."""
     q = lexical.query_terms(_one(t, QUERY))
