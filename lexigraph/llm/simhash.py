@@ -355,6 +355,7 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
                         group = int(g[part[0]])
                     held.append((nodes[part], wide[part], left[part].astype(np.int64)))
         close()
+        pa.default_memory_pool().release_unused()  # the worker lives on
         items = np.array([(u, forest.root(u)) for u in list(forest.up)], np.int64).reshape(-1, 2)
         for i in range(0, len(items), 10000):
             part = items[i : i + 10000]

@@ -63,7 +63,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def term_counts(labelled: DataFrame, room: int = 400_000) -> DataFrame:
+def term_counts(labelled: DataFrame, room: int = 150_000) -> DataFrame:
     """(term, toxic, clean): in how many labelled rows each term is. Each task sums before it sends, in a table of `room` terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,7 @@ class Vocabulary:
     def of(self, word: str) -> tuple[int, ...]:
         keys = [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
         found = [self.index[k] for k in keys if k in self.index] + [len(self.terms) + i for i, x in enumerate(LISTS.values()) if word in x]
-        if len(self.memo) > 500_000:
+        if len(self.memo) > 50_000:  # a worker keeps the model for its whole life
             self.memo.clear()
         self.memo[word] = out = tuple(found)
         return out
