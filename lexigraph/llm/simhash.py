@@ -273,27 +273,132 @@ def _word(bits: int) -> str:
     return "<u4" if bits <= 32 else "<u8"
 
 
-def meet_wide(fps: np.ndarray, masks: np.ndarray, left: np.ndarray, free: list[int], radius: int, room: int, wide: np.ndarray, most: int, forest: Forest, names: np.ndarray) -> None:
+class Crowds:
+    """Nodes by their fingerprint in one table (`values`, distinct; the nodes of value i are `start[i]` and the next `count[i]`),
+    and what joins them: whole fingerprints that differ in at most `most` bits. What is joined already isn't judged again."""
+
+    def __init__(self, fps: np.ndarray, wide: np.ndarray, names: np.ndarray, most: int, forest: Forest) -> None:
+        order = np.argsort(fps, kind="stable")
+        self.values, self.start, self.count = np.unique(fps[order], return_index=True, return_counts=True)
+        self.wide, self.names, self.most, self.forest = wide[order], names[order], most, forest
+        others = np.ones(len(order), bool)
+        others[self.start] = False
+        self.judge(np.flatnonzero(others), np.repeat(self.start, self.count)[others])
+
+    def judge(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Pair by pair."""
+        for i in range(0, len(a), 1 << 17):
+            x, y = a[i : i + (1 << 17)], b[i : i + (1 << 17)]
+            near = np.bitwise_count(self.wide[x] ^ self.wide[y]).sum(1, dtype=np.int64) <= self.most
+            for u, v in zip(self.names[x[near]].tolist(), self.names[y[near]].tolist(), strict=True):
+                self.forest.link(u, v)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        root = self.forest.root
+        return np.array([root(x) for x in self.names[at].tolist()], np.int64)
+
+    def signs(self, at: np.ndarray) -> np.ndarray:
+        rows = np.ascontiguousarray(self.wide[at])
+        return np.unpackbits(rows.view(np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32) * 2 - 1
+
+    def cross(self, a: np.ndarray, b: np.ndarray) -> None:
+        """All of a with all of b, in blocks: a few are tried first, which joins a crowd of near copies, then whoever isn't joined.
+        The product of two rows of signs is their number of bits less twice those that differ."""
+        for x in a[:: max(1, len(a) // 4)][:4]:
+            self.judge(np.full(len(b), x), b)
+        for y in b[:: max(1, len(b) // 4)][:4]:
+            self.judge(a, np.full(len(a), y))
+        ra, rb = self.roots(a), self.roots(b)
+        a = a[np.argsort(ra, kind="stable")]
+        for i in range(0, len(a), 512):
+            x = a[i : i + 512]
+            rx = self.roots(x)
+            y = b if rx[0] != rx[-1] else b[rb != rx[0]]
+            if not len(y):
+                continue
+            left = self.signs(x)
+            for j in range(0, len(y), 2048):
+                part = y[j : j + 2048]
+                right = self.signs(part)
+                p, q = np.nonzero(left @ right.T >= left.shape[1] - 2 * self.most)
+                apart = self.roots(x)[p] != self.roots(part)[q]
+                for u, v in zip(self.names[x[p[apart]]].tolist(), self.names[part[q[apart]]].tolist(), strict=True):
+                    self.forest.link(u, v)
+            rb = self.roots(b)
+
+    def members(self, i: int) -> np.ndarray:
+        return np.arange(self.start[i], self.start[i] + self.count[i])
+
+    def meet_self(self, own: np.ndarray) -> None:
+        """All pairs under each of these values."""
+        for i in own[self.count[own] > 2].tolist():
+            self.cross(self.members(i), self.members(i))
+
+    def meet_pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """All pairs of a node under value i and one under value j."""
+        sizes = self.count[i] * self.count[j]
+        for x, y in zip(i[sizes > 4096].tolist(), j[sizes > 4096].tolist(), strict=True):
+            self.cross(self.members(x), self.members(y))
+        i, j, sizes = i[sizes <= 4096], j[sizes <= 4096], sizes[sizes <= 4096]
+        for part in _stretches(sizes, 1 << 18):
+            n, cj = sizes[part], np.repeat(self.count[j[part]], sizes[part])
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            self.judge(np.repeat(self.start[i[part]], n) + k // cj, np.repeat(self.start[j[part]], n) + k % cj)
+
+    def labels(self, values: np.ndarray) -> np.ndarray:
+        """The root of each value's nodes, or a number of its own if they have several."""
+        size = self.count[values]
+        first = np.cumsum(size) - size
+        roots = self.roots(np.repeat(self.start[values] - first, size) + np.arange(size.sum()))
+        mixed = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
+        ids = np.unique(roots[first], return_inverse=True)[1]
+        return np.where(mixed, len(ids) + np.arange(len(ids)), ids)
+
+
+def _stretches(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose sizes add up to about `most`."""
+    if len(sizes):
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+            yield slice(a, b)
+
+
+def meeting_place(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Of the variants within `radius` bits of both the one where the pair is judged: the smaller fingerprint, or, if that is too
+    far from the other, it with the lowest `radius` bits flipped that differ."""
+    at, rest = np.minimum(a, b), a ^ b
+    far = np.bitwise_count(rest) > radius
+    for _ in range(radius):
+        bit = rest & (~rest + ONE)
+        at = np.where(far, at ^ bit, at)
+        rest = rest ^ bit
+    return at
+
+
+def meet_wide(crowds: Crowds, at: np.ndarray, masks: np.ndarray, left: np.ndarray, free: list[int], radius: int, room: int) -> None:
     """As `meet`, for one table of wide fingerprints: who meets is linked if the whole fingerprints differ in at most `most` bits.
-    On a variant each is compared with the one beside it and with the first, so a crowd costs what its members cost."""
+    at: the values that are here. On a variant each is compared with the one beside it and with the first; of whom that leaves
+    apart, all pairs are judged, each pair at its meeting place only."""
+    fps = crowds.values[at]
     if len(fps) < 2:
         return
     counts = [sum(len(m) for m in flips(free, n)) for n in range(radius + 1)]
     if free and sum(np.bincount(left, minlength=radius + 1)[: radius + 1] * np.array(counts)) > room and len(fps) > 64:
-        # One value of the next four bits after the other: what it takes to get there is so many flips less.
-        low, rest = np.uint64(free[0]), free[4:]
-        for value in range(1 << len(free[:4])):
-            turn = (((fps ^ masks) >> low) & np.uint64((1 << len(free[:4])) - 1)) ^ np.uint64(value)
+        # One value of the next four bits after the other: what it takes to get there is so many flips less. `free` falls or rises.
+        now, rest = free[:4], free[4:]
+        low = np.uint64(min(now))
+        for value in range(1 << len(now)):
+            turn = (((fps ^ masks) >> low) & np.uint64((1 << len(now)) - 1)) ^ np.uint64(value)
             left_then = left - np.bitwise_count(turn).astype(np.int64)
             can = np.flatnonzero(left_then >= 0)
-            meet_wide(fps[can], masks[can] ^ (turn[can] << low), left_then[can], rest, radius, room, wide[can], most, forest, names[can])
+            meet_wide(crowds, at[can], masks[can] ^ (turn[can] << low), left_then[can], rest, radius, room)
         return
     variants, owners = [], []
     for n, table in enumerate(flips(free, radius)):
         own = left >= n
         if len(table) and own.any():
             variants.append(((fps ^ masks)[own][:, None] ^ table[None, :]).ravel())
-            owners.append(np.repeat(np.flatnonzero(own).astype(np.int32), len(table)))
+            owners.append(np.repeat(at[own].astype(np.int32), len(table)))
     variant, owner = np.concatenate(variants), np.concatenate(owners)
     del variants, owners
     order = np.argsort(variant)
@@ -304,12 +409,33 @@ def meet_wide(fps: np.ndarray, masks: np.ndarray, left: np.ndarray, free: list[i
         return
     start = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
     a, b = np.concatenate([owner[hit], owner[hit]]), np.concatenate([owner[hit - 1], owner[start[hit]]])
-    pairs = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
-    for i in range(0, len(pairs), 1 << 18):
-        a, b = pairs[i : i + (1 << 18)] // len(fps), pairs[i : i + (1 << 18)] % len(fps)
-        near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= most
-        for x, y in zip(names[a[near]].tolist(), names[b[near]].tolist(), strict=True):
-            forest.link(x, y)
+    # Three nodes on a variant are judged by that, more aren't.
+    nodes = np.bincount(start, weights=crowds.count[owner], minlength=len(same))[start]
+    crowded = (nodes > 3) & (same | np.append(same[1:], False))
+    n = len(crowds.values)
+    pairs = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    crowds.judge(crowds.start[pairs // n], crowds.start[pairs % n])
+    del a, b, pairs, start, nodes
+    if not crowded.any():
+        return
+    # Whoever shares a variant, by what they are joined to: only pairs across such runs are open.
+    variant, owner = variant[crowded], owner[crowded]
+    there, label = np.unique(owner, return_inverse=True)
+    label = crowds.labels(there)[label]
+    order = np.lexsort((label, variant))
+    variant, owner, label = variant[order], owner[order], label[order]
+    edge = np.flatnonzero(variant[1:] != variant[:-1]) + 1
+    turn = np.flatnonzero((variant[1:] != variant[:-1]) | (label[1:] != label[:-1])) + 1
+    place = np.arange(len(variant))
+    bucket_end = np.append(edge, len(variant))[np.searchsorted(edge, place, side="right")]
+    run_end = np.append(turn, len(variant))[np.searchsorted(turn, place, side="right")]
+    open_pairs = bucket_end - run_end
+    for part in _stretches(open_pairs, 1 << 18):
+        size = open_pairs[part]
+        p = np.repeat(place[part], size)
+        q = np.repeat(run_end[part], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        here = meeting_place(crowds.values[owner[p]], crowds.values[owner[q]], radius) == variant[p]
+        crowds.meet_pairs(owner[p[here]], owner[q[here]])
 
 
 def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: int, distance: int = 4, n: int, group_rows: int = 1 << 15, room: int = 1 << 18) -> DataFrame:
@@ -326,34 +452,35 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
                 wide = np.frombuffer(b"".join(part.column(1).to_pylist()), _word(bits)).reshape(-1, width).astype(np.uint64)
                 at = np.arange(len(wide), dtype=np.uint64)
                 for t in range(tables):
-                    groups, rows, few = [], [], []
-                    for flipped, table in enumerate(flips(first, radius)):
+                    groups, rows = [], []
+                    for table in flips(first, radius):
                         groups.append(((wide[:, t][:, None] ^ table[None, :]) >> np.uint64(bits - k)).ravel())
                         rows.append(np.repeat(at, len(table)))
-                        few.append(np.full(len(table) * len(at), radius - flipped, np.int8))
                     g, r = np.concatenate(groups).astype(np.int64), pa.array(np.concatenate(rows).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array((t << k | g).astype(np.int32)), part.column(0).take(r), part.column(1).take(r), pa.array(np.concatenate(few))], ["g", "node", "wide", "flips_left"])
+                    yield pa.RecordBatch.from_arrays([pa.array((t << k | g).astype(np.int32)), part.column(0).take(r), part.column(1).take(r)], ["g", "node", "wide"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, group, held = Forest(), None, []
 
         def close() -> None:
             if held:
-                nodes, wide, left = (np.concatenate(x) for x in zip(*held, strict=True))
+                nodes, wide = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                f = wide[:, group >> k].astype(np.uint64)
-                masks = (f >> np.uint64(bits - k) ^ np.uint64(group & (1 << k) - 1)) << np.uint64(bits - k)
-                meet_wide(f, masks, left, rest, radius, room, wide, most, forest, nodes)
+                crowds = Crowds(wide[:, group >> k].astype(np.uint64), wide, nodes, most, forest)
+                masks = (crowds.values >> np.uint64(bits - k) ^ np.uint64(group & (1 << k) - 1)) << np.uint64(bits - k)
+                crowds.meet_self(np.flatnonzero(masks == 0))
+                at = np.arange(len(crowds.values))
+                meet_wide(crowds, at, masks, radius - np.bitwise_count(masks).astype(np.int64), rest, radius, room)
 
         for batch in batches:
-            g, nodes, left = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
+            g, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), _word(bits)).reshape(-1, width)
             for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
                 if len(part):
                     if group != int(g[part[0]]):
                         close()
                         group = int(g[part[0]])
-                    held.append((nodes[part], wide[part], left[part].astype(np.int64)))
+                    held.append((nodes[part], wide[part]))
         close()
         pa.default_memory_pool().release_unused()  # the worker lives on
         items = np.array([(u, forest.root(u)) for u in list(forest.up)], np.int64).reshape(-1, 2)
@@ -361,7 +488,7 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
             part = items[i : i + 10000]
             yield pa.RecordBatch.from_arrays([pa.array(part.max(1)), pa.array(part.min(1))], ["u", "v"])
 
-    rows = prints.select("node", "wide").mapInArrow(emit, "g int, node long, wide binary, flips_left byte")
+    rows = prints.select("node", "wide").mapInArrow(emit, "g int, node long, wide binary")
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(join, "u long, v long")
 
 

@@ -149,6 +149,30 @@ def test_similar_documents(spark):
     assert all(group[r.component_id] == group[r.doc_id] for r in got)
 
 
+def test_similar_documents_in_crowds():
+    """Pairs hidden in a crowd of documents that share a table's variants but are not alike."""
+    r = np.random.default_rng(1)
+    n, most, radius = 600, 40, 2
+    wide = r.integers(0, 2**32, (n, 10), dtype=np.uint32)
+    wide[:, 0] = np.where(np.arange(n) < 200, 12345, 12345 ^ (1 << r.integers(0, 10, n)) ^ (1 << r.integers(10, 20, n))).astype(np.uint32)
+    for a, b in r.permutation(n)[:60].reshape(-1, 2):
+        wide[b, 1:] = wide[a, 1:]
+        wide[b, 5] ^= 255
+    crowd, alone = simhash.Forest(), simhash.Forest()
+    dist = np.bitwise_count(wide[:, None] ^ wide[None]).sum(2, dtype=np.int64)
+    table = np.bitwise_count(wide[:, None, 0] ^ wide[None, :, 0])
+    for a, b in zip(*np.nonzero((dist <= most) & (table <= 2 * radius)), strict=True):
+        alone.link(int(a), int(b))
+    for room in (1 << 18, 2000):
+        crowd = simhash.Forest()
+        crowds = simhash.Crowds(wide[:, 0].astype(np.uint64), wide, np.arange(n), most, crowd)
+        at = np.arange(len(crowds.values))
+        crowds.meet_self(at)
+        simhash.meet_wide(crowds, at, np.zeros(len(at), np.uint64), np.full(len(at), radius), list(range(32)), radius, room)
+        assert [crowd.root(i) for i in range(n)] == [alone.root(i) for i in range(n)]
+    assert len({alone.root(i) for i in range(n)}) == n - 30
+
+
 def test_sketches(docs):
     order = sorted(TEXTS, key=lambda x: (x[0] is None, -(x[0] or 0)))
     got = sketches.edited_prints(docs).collect()
