@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import SPACE, code_points, id_and_text, materialise, text_bytes
 
@@ -199,10 +200,8 @@ def collided(docs: DataFrame, groups: DataFrame, *, bits: int = 26, held: int =
     return sent.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(compared, "n_bytes long, f1 long, f2 long")
 
 
-def exact_groups(docs: DataFrame, *, huge: int = 16 << 20, primes: tuple[int, int] = PRIMES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of `docs`.
-
-    Of equal texts the row with the most code points stays, then the smallest id (nulls last)."""
+def _ranked(docs: DataFrame, *, huge: int = 16 << 20, primes: tuple[int, int] = PRIMES) -> DataFrame:
+    """A row for each row of `docs`: its fingerprint, and for a text that several have, group_size and `best` of them."""
     prints = materialise(fingerprints(docs, huge=huge, primes=primes))
     candidates = prints.groupBy(*KEY).count().where("count > 1")
     twofold = collided(docs, candidates, primes=primes).withColumn("twofold", F.lit(True))
@@ -215,13 +214,29 @@ def exact_groups(docs: DataFrame, *, huge: int = 16 << 20, primes: tuple[int, in
     best = keyed.groupBy(*key).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_cp")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))).alias("best"))
     # Written, so that the join's two sides are plain exchanges: Spark then splits the partition of a hot text, or broadcasts.
     best = materialise(best.where("group_size > 1"))
-    joined = keyed.join(best, key, "left")
+    return keyed.join(best, key, "left")
+
+
+def exact_groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of `docs`.
+
+    Of equal texts the row with the most code points stays, then the smallest id (nulls last)."""
+    joined = _ranked(docs, **options)
     keep = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.c"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
 
+@F.arrow_udf(StringType())
+def _own(text: pa.Array) -> pa.Array:
+    """What tells a row from others of its id, as `fingerprints` has it."""
+    return pa.array([f"{code_points(raw)}:{hashlib.sha256(bare(raw)).hexdigest()}" for raw in text_bytes(text)], pa.string())
+
+
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, all columns, that stay. Rows that are the same in id and text stay together."""
-    groups = exact_groups(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, **options)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of `docs`, all columns, that stay. Rows that are the same in id and text stay together; other rows of an id, and
+    other rows without one, stay or go by their own text."""
+    rows = _ranked(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, **options)
+    lost = F.col("best").isNotNull() & ~((-F.col("n_cp") == F.col("best.a")) & F.col("doc_id").eqNullSafe(F.col("best.c")))
+    gone = rows.where(lost).select(F.col("doc_id").alias("__gone"), F.concat_ws(":", F.col("n_cp").cast("string"), "text_sha256").alias("__gone_text"))
+    marked = docs.withColumn("__own", _own(F.col("text").cast("string")))
+    return marked.join(gone, marked[id_col].eqNullSafe(gone["__gone"]) & (marked["__own"] == gone["__gone_text"]), "left_anti").drop("__own")

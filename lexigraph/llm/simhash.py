@@ -492,8 +492,9 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(join, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.99, slack: float = 0.03, judged: int = 320) -> DataFrame:
-    """doc_id, component_id: groups of documents linked by an estimated Jaccard similarity of shingle sets of `similarity` or more.
+def _similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.99, slack: float = 0.03, judged: int = 320) -> DataFrame:
+    """doc_id, own (a hash of the text), component: groups of documents linked by an estimated Jaccard similarity of shingle sets of
+    `similarity` or more, and of each group of several rows the first, (without id, doc_id, own).
 
     At 0.8, two 64-bit fingerprints differ in some ten bits, too many for balls. So there are several shorter fingerprints, as
     `tables_for` says; documents meet by ball hashing in any, and a pair is judged by all bits together, at
@@ -508,20 +509,30 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
         for batch in batches:
             wide = [wide_simhash(x, words, bits, width) for x in text_bytes(batch.column(1))]
             node = np.array([xxhash.xxh64_intdigest(w, SEED) for w in wide], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(wide, pa.binary())], ["doc_id", "node", "wide"])
+            own = np.array([xxhash.xxh64_intdigest(x, SEED) for x in text_bytes(batch.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array(node), pa.array(wide, pa.binary())], ["doc_id", "own", "node", "wide"])
 
-    prints = materialise(docs.mapInArrow(run, "doc_id long, node long, wide binary"))
+    prints = materialise(docs.mapInArrow(run, "doc_id long, own long, node long, wide binary"))
     distinct = prints.groupBy("node").agg(F.first("wide").alias("wide"))
-    least = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    least = materialise(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "own")).alias("least"), F.count("*").alias("n")))
     tied = components(wide_links(distinct, bits=bits, tables=tables, width=width, most=most, n=n)).withColumnRenamed("node", "tied")
     rooted = least.join(tied, F.col("node") == F.col("tied"), "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("size")).where("size > 1")
     found = rooted.join(groups, "root").select(F.col("node").alias("f"), "component")
-    return prints.join(found, F.col("node") == F.col("f"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return prints.join(found, F.col("node") == F.col("f"), "left").select("doc_id", "own", "component")
+
+
+def similar_groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, component_id (the smallest id of the document's group; see `_similar`)."""
+    return _similar(docs, **options).select("doc_id", F.coalesce("component.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, all columns, of which of each group of similar documents the one with the smallest id stays."""
-    groups = similar_groups(id_and_text(docs, id_col, text_col), **options)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of `docs`, all columns, of which of each group of similar documents the one with the smallest id stays (a null id
+    sorts after all others, of texts under one id either stays). Rows that are the same in id and text stay together."""
+    first = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("own") == F.col("component.own"))
+    gone = _similar(id_and_text(docs, id_col, text_col), **options).where(F.col("component").isNotNull() & ~first)
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("own").alias("__gone_text"))
+    # Spark's hash of a string is XXH64 with seed 42, too.
+    own = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (own == gone["__gone_text"]), "left_anti")

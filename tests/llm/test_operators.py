@@ -57,6 +57,20 @@ def test_exact_dedup_keeps_columns(docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [2, 3, 6, 7, 8, None, 9, 9, 10, 11, 12, 13]))
 
 
+def test_dedup_drops_the_rows_that_lost(spark):
+    r = random.Random(8)
+    long = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(200))
+    first, second, clean = long(), long(), long()
+    rows = [(1, first), (None, first), (None, clean), (None, None), (2, second), (5, first), (5, "all its own"), (5, second + " "), (6, " x y"), (6, "xy"), (7, "é ü\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in exact_dedup.drop_copies(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, first), (None, clean), (None, None), (5, "all its own"), (5, second + " "), (6, " x y"), (7, "é ü\n")]))
+    rows = [(1, first), (None, first + " more"), (None, clean), (4, second), (4, clean + " more"), (None, long() + " é"), (5, first + " again"), (5, "all its own"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in simhash.keep_one(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [rows[k] for k in (0, 3, 4, 5, 7, 8)]))
+
+
 def test_polynomials_compose():
     a, b = random.Random(1).randbytes(9000), random.Random(2).randbytes(77)
     assert exact_dedup.combine(exact_dedup.polynomial(a), exact_dedup.polynomial(b)) == exact_dedup.polynomial(a + b)
