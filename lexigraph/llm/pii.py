@@ -24,17 +24,22 @@ from .feistel import permute
 
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
+IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?"
 #: Cards, social security numbers, telephone numbers, addresses and dates all start with a digit, `+` or `(`.
-NUMBER = re.compile(
-    r"(?<![A-Za-z0-9_+])(?<![0-9][.-])(?:"
-    r"(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})"
-    r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})"
-    r"|(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})"
-    r")(?![A-Za-z0-9_]|[.-][0-9])"
-)
+NUMBERS = {
+    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}",
+    "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+}
+#: Where a value may start, and for each kind, in order of trial, its form and what may not follow.
+NUMBER_START = re.compile(rf"(?<![A-Za-z0-9_+])(?<![0-9][.-])(?={'|'.join(NUMBERS.values())})")
+IBAN_START = re.compile(rf"(?<![A-Za-z0-9])(?={IBAN})")
+#: Digits set apart in two ways are a card's only if they aren't a telephone number and another.
+_TRIED = [*((k, NUMBERS[k]) for k in ("date", "ip", "ssn")), ("card", r"[0-9](?:[ ]?[0-9]){12,18}"), ("card", r"[0-9](?:-?[0-9]){12,18}"), ("phone", NUMBERS["phone"]), ("card", NUMBERS["card"])]
+NUMBER_FORMS = [(k, re.compile(v), re.compile(r"[A-Za-z0-9_]|[.-][0-9]")) for k, v in _TRIED]
+IBAN_FORMS = [("iban", re.compile(IBAN), re.compile(r"[A-Za-z0-9]"))]
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -158,24 +163,46 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     return MAKERS[kind](value, key, back)
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
-    out += [(m.start(), m.end(), m.lastgroup) for m in NUMBER.finditer(text)]
-    out += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text)]
-    return sorted(out, key=lambda x: (x[0], -x[1], KINDS.index(x[2])))
+def valid_at(text: str, start: int, forms: list, key: bytes, back: bool) -> tuple[int, str, str] | None:
+    """(end, kind, pseudonym) of the value that starts here: of the first kind that has a valid one, the longest."""
+    for kind, form, no_more in forms:
+        stop = len(text)
+        while m := form.match(text, start, stop):
+            stop = m.end() - 1
+            if not no_more.match(text, m.end()) and (new := pseudonym(kind, m[0], key, back)) is not None:
+                return m.end(), kind, new
+    return None
 
 
 def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and (start, end, kind) of what was replaced, in the original; the leftmost, then longest wins."""
-    parts, spans, at = [], [], 0
-    for s, e, kind in candidates(text):
-        if s < at or (new := pseudonym(kind, text[s:e], key, back)) is None:
+    """The text with pseudonyms, and (start, end, kind) of what was replaced, in the original; the leftmost, then longest wins.
+
+    Where nothing valid starts, the next start is tried, also one inside what was refused. With `back` values are undone as they
+    are read, which for a number right before another may be with another end."""
+    starts = [(m.start(), 1, NUMBER_FORMS) for m in NUMBER_START.finditer(text)]
+    starts += [(m.start(), 2, IBAN_FORMS) for m in IBAN_START.finditer(text)]
+    if "@" in text:
+        starts += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    parts, spans, at, best, place = [], [], 0, None, -1
+
+    def take() -> None:
+        nonlocal at, best
+        if best:
+            e, kind, new = best
+            parts.extend((text[at:place], new))
+            spans.append((place, e, kind))
+            at, best = e, None
+
+    for s, family, forms in sorted(starts, key=lambda x: x[:2]):
+        if s != place:
+            take()
+        if s < at:
             continue
-        parts += [text[at:s], new]
-        spans.append((s, e, kind))
-        at = e
+        place = s
+        found = (forms, "email", pseudonym("email", text[s:forms], key, back)) if family == 0 else valid_at(text, s, forms, key, back)
+        if found and found[2] is not None and (best is None or found[0] > best[0]):
+            best = found
+    take()
     return "".join([*parts, text[at:]]) if spans else text, spans
 
 

@@ -287,6 +287,22 @@ def test_pseudonyms():
     assert one == two != "4785380592391139" and new.endswith("not 999.1.1.1, 2023-13-01, 4111111111111112.")
 
 
+def test_pseudonyms_of_adjacent_numbers():
+    for text, value, kind in [
+        ("card 4111 1111 1111 1111 12/27 end", "4111 1111 1111 1111", "card"),
+        ("card 4111 1111 1111 1111 123 end", "4111 1111 1111 1111", "card"),
+        ("order 1234 4111 1111 1111 1111 end", "4111 1111 1111 1111", "card"),
+        ("call 555-123-4567 2024 end", "555-123-4567", "phone"),
+        ("call 555-123-4567 2025 end", "555-123-4567", "phone"),
+        ("pay GB82 WEST 1234 5698 7654 32 NOW end", "GB82 WEST 1234 5698 7654 32", "iban"),
+        ("pay AT61 1904 3002 3457 3201 USD end", "AT61 1904 3002 3457 3201", "iban"),
+        ("at 999.1.1.1 and 10.0.0.1 then 2024-02-30 2024-02-28", "2024-02-28", "date"),
+    ]:
+        new, spans = pii.replaced(text, b"k")
+        s = text.index(value)
+        assert (s, s + len(value), kind) in spans and value not in new and new.endswith(text[s + len(value) :]), text
+
+
 def test_pseudonyms_table(docs):
     got = pii.pseudonymised(docs, key=b"k").collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((i, t or "")) for i, t in TEXTS)
