@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it. Only where everything runs in one process, as
+    in tests, is a local one made if none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
