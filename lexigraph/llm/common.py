@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, shared_dir
+
 #: The white space that every contract names, `[\x20\x09-\x0D]`, as bytes.
 SPACE = b" \t\n\x0b\x0c\r"
 NULL_ID = -(2**63)
@@ -18,23 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone at exit; the folder is then the cluster's to clean
-        pass
-
-
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """`df` as a written table in the shared folder, so that a lost executor costs a read, not a recomputation.
 
@@ -42,10 +27,44 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexigraph-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, or a longer one if the table has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """`docs` with two columns more, that together are a row's own, and their names. Ids may be null or repeated; what is decided of a
+    row is decided by these. A table read straight from files has the file's hash and the row's place in it; anything else is written
+    first, as a second run of its plan may give other rows."""
+    file, line = free_name(docs, "row_file"), free_name(docs, "row_line")
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in (c.lower() for c in docs.columns):
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(line)), file, line
+        except AnalysisException:  # not a format that counts its rows
+            pass
+    return materialise(docs.withColumn(file, F.lit(0).cast("long")).withColumn(line, F.monotonically_increasing_id())), file, line
+
+
+def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str, str]:
+    """The columns an operator reads with what tells rows apart, (doc_id, row_file, row_line, text), and what `numbered` gives."""
+    docs, file, line = numbered(docs)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(file).alias("row_file"), F.col(line).alias("row_line"), F.col(text_col).cast("string").alias("text"))
+    return slim, docs, file, line
+
+
+def without(docs: DataFrame, gone: DataFrame, file: str, line: str) -> DataFrame:
+    """The rows of `docs` (as `numbered` gives them) that aren't in `gone` (row_file, row_line)."""
+    gone = materialise(gone.select(F.col("row_file").alias(f"{file}_gone"), F.col("row_line").alias(f"{line}_gone")))
+    return docs.join(gone, (docs[file] == gone[f"{file}_gone"]) & (docs[line] == gone[f"{line}_gone"]), "left_anti").drop(file, line)
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null counts as empty."""
     import pyarrow as pa
@@ -58,5 +77,5 @@ def code_points(data: bytes) -> int:
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator reads, so that other columns can't clash with its own names."""
+    """Only the columns an operator reads, so that other columns can't clash with its own names."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

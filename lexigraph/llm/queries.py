@@ -72,14 +72,14 @@ FROM t WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id NULLS LAST)
 """
 
 _OP5 = r"""
-WITH t AS (SELECT doc_id, source, CASE WHEN length(text) > 0 THEN greatest(0.05::DOUBLE, length(translate(text, '#$%&*!@^|~<>{}[]', ''))::DOUBLE / length(text)) ELSE 0.05::DOUBLE END AS q, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH t AS (SELECT doc_id, source, text, CASE WHEN length(text) > 0 THEN greatest(0.05::DOUBLE, length(translate(text, '#$%&*!@^|~<>{}[]', ''))::DOUBLE / length(text)) ELSE 0.05::DOUBLE END AS q, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS w FROM t GROUP BY source),
 lv AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER b, 0)) / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER b, 0)) AS level
        FROM s WINDOW b AS (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT arg_min(level, 2 * source_size / w) AS level FROM lv WHERE level * w <= 2 * source_size),
 p AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM g) * w, 2.0::DOUBLE * source_size)) AS target FROM s),
 k AS (SELECT t.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
-      1.0::DOUBLE - exp(ln((('0x' || md5(concat_ws('|', '17', doc_id::VARCHAR, t.source))[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / q) AS key
+      -ln((('0x' || md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, md5(text)), t.source))[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / q AS key
       FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
        size * (epochs + (sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) - size + size / 2.0::DOUBLE <= target - epochs * source_size)::INT)::BIGINT AS taken

@@ -16,7 +16,8 @@ Components come from alternating large-star and small-star steps, each a written
 `similar_groups` uses the same on several shorter fingerprints at once, for documents that are alike but not almost the same.
 
 Null and empty texts have no words: fingerprint zero, linked like any other. Null ids are allowed, and sort after all others;
-repeated rows are one fingerprint, and so are in one component. An empty table gives an empty result.
+repeated rows are one fingerprint, and so are in one component; of a group exactly one row stays, whatever ids repeat. A text of any
+length is read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, text_bytes
+from .common import id_and_text, materialise, text_bytes, told_apart, without
 
 SEED = 42
 BITS = 64
@@ -234,10 +235,11 @@ def near_groups(docs: DataFrame, *, words: int = 4, distance: int = 4) -> DataFr
     ids = F.min("doc_id").alias("least"), F.count("*").alias("n")
     distinct = materialise(prints.groupBy("fp").agg(*ids))
     tied = components(links(distinct, distance=distance))
-    rooted = distinct.join(tied, distinct.fp == tied.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    # Only fingerprints that several documents or an edge share need a look-up; the others stand for themselves.
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("size")).where("size > 1")
-    found = rooted.join(least, "root").select(F.col("fp").alias("f"), "component")
+    rooted = materialise(distinct.join(tied, distinct.fp == tied.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    # Only fingerprints that several documents or an edge share need a look-up; the others stand for themselves. Written, so that the
+    # join on a root that a third of all have is of two plain exchanges, which Spark splits.
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("size")).where("size > 1"))
+    found = materialise(rooted.join(least, "root").select(F.col("fp").alias("f"), "component"))
     joined = prints.join(found, prints.fp == found.f, "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -493,13 +495,12 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
 
 
 def _similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.99, slack: float = 0.03, judged: int = 320) -> DataFrame:
-    """doc_id, own (a hash of the text), component: groups of documents linked by an estimated Jaccard similarity of shingle sets of
-    `similarity` or more, and of each group of several rows the first, (without id, doc_id, own).
+    """docs: doc_id, row_file, row_line, text. The first three of each row, and component: of each group of several rows, linked by an
+    estimated Jaccard similarity of shingle sets of `similarity` or more, the first row, (without id, doc_id, row_file, row_line).
 
     At 0.8, two 64-bit fingerprints differ in some ten bits, too many for balls. So there are several shorter fingerprints, as
     `tables_for` says; documents meet by ball hashing in any, and a pair is judged by all bits together, at
     least `judged`. `slack` is what the estimate may lack."""
-    docs = id_and_text(docs)
     n = docs.count()
     bits, tables = tables_for(n, similarity, 4, recall)
     width = max(tables, -(-judged // bits))
@@ -507,32 +508,30 @@ def _similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = [wide_simhash(x, words, bits, width) for x in text_bytes(batch.column(1))]
+            wide = [wide_simhash(x, words, bits, width) for x in text_bytes(batch.column(3))]
             node = np.array([xxhash.xxh64_intdigest(w, SEED) for w in wide], np.uint64).view(np.int64)
-            own = np.array([xxhash.xxh64_intdigest(x, SEED) for x in text_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array(node), pa.array(wide, pa.binary())], ["doc_id", "own", "node", "wide"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), pa.array(wide, pa.binary())], ["doc_id", "row_file", "row_line", "node", "wide"])
 
-    prints = materialise(docs.mapInArrow(run, "doc_id long, own long, node long, wide binary"))
+    prints = materialise(docs.select("doc_id", "row_file", "row_line", "text").mapInArrow(run, "doc_id long, row_file long, row_line long, node long, wide binary"))
     distinct = prints.groupBy("node").agg(F.first("wide").alias("wide"))
-    least = materialise(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "own")).alias("least"), F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "row_file", "row_line")
+    least = materialise(prints.groupBy("node").agg(F.min(order).alias("least"), F.count("*").alias("n")))
     tied = components(wide_links(distinct, bits=bits, tables=tables, width=width, most=most, n=n)).withColumnRenamed("node", "tied")
-    rooted = least.join(tied, F.col("node") == F.col("tied"), "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("size")).where("size > 1")
-    found = rooted.join(groups, "root").select(F.col("node").alias("f"), "component")
-    return prints.join(found, F.col("node") == F.col("f"), "left").select("doc_id", "own", "component")
+    rooted = materialise(least.join(tied, F.col("node") == F.col("tied"), "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")))
+    # Written, so that joins on a root or a fingerprint that a third of all have are of plain exchanges, which Spark splits.
+    groups = materialise(rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("size")).where("size > 1"))
+    found = materialise(rooted.join(groups, "root").select(F.col("node").alias("f"), "component"))
+    return prints.join(found, F.col("node") == F.col("f"), "left").select("doc_id", "row_file", "row_line", "component")
 
 
-def similar_groups(docs: DataFrame, **options) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, component_id (the smallest id of the document's group; see `_similar`)."""
-    return _similar(docs, **options).select("doc_id", F.coalesce("component.doc_id", "doc_id").alias("component_id"))
+    return _similar(told_apart(docs, id_col, text_col)[0], **options).select("doc_id", F.coalesce("component.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, all columns, of which of each group of similar documents the one with the smallest id stays (a null id
-    sorts after all others, of texts under one id either stays). Rows that are the same in id and text stay together."""
-    first = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("own") == F.col("component.own"))
-    gone = _similar(id_and_text(docs, id_col, text_col), **options).where(F.col("component").isNotNull() & ~first)
-    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("own").alias("__gone_text"))
-    # Spark's hash of a string is XXH64 with seed 42, too.
-    own = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (own == gone["__gone_text"]), "left_anti")
+    """The rows of `docs`, all columns, of which of each group of similar documents one stays: that with the smallest id (a null id sorts
+    after all others), and of such rows the first."""
+    slim, docs, file, line = told_apart(docs, id_col, text_col)
+    stays = F.col("component").isNull() | ((F.col("row_file") == F.col("component.row_file")) & (F.col("row_line") == F.col("component.row_line")))
+    return without(docs, _similar(slim, **options).where(~stays), file, line)

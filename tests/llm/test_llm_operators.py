@@ -45,16 +45,32 @@ def test_exact_dedup(docs):
     for i, t in TEXTS:
         groups[bare(t)].append((-len(t or ""), i is None, i or 0, i))
     want = sorted((str(i), str(min(groups[bare(t)])[3]), len(groups[bare(t)]), hashlib.sha256(bare(t).encode()).hexdigest()) for i, t in TEXTS)
-    for options in ({}, {"huge": 1000}, {"primes": (7, 5)}, {"primes": (7, 5), "huge": 100}):
+    for options in ({}, {"huge": 1000}, {"primes": (7, 5)}, {"primes": (7, 5), "huge": 100}, {"most_bits": 1, "chunk": 100, "held": 1}, {"primes": (7, 5), "chunk": 5, "held": 1}):
         got = exact_dedup.exact_groups(docs, **options).collect()
         assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want, options
-        assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+        kept = [r for r in got if r.kept]
+        assert len({r.text_sha256 for r in got}) == len({r.text_sha256 for r in kept}) == len(kept) and all(r.doc_id == r.keep_id for r in kept)
 
 
 def test_exact_dedup_keeps_columns(docs):
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [2, 3, 6, 7, 8, None, 9, 9, 10, 11, 12, 13]))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [2, 3, 6, 7, 8, None, 9, 10, 11, 12, 13]))
+
+
+def test_dedup_of_repeated_ids(spark, tmp_path):
+    """One row of each group stays, whatever ids repeat, and no text of its own goes."""
+    rows = [(5, "only text A here"), (5, "B B B B"), (3, "B B B B"), (9, "same"), (9, "same"), (None, "nobody's"), (None, "nobody's"), (None, "nobody's own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", exact_dedup.F.lit("s"))
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs")
+    want = sorted(map(repr, [rows[0], rows[2], rows[3], rows[5], rows[7]]))
+    for df in (docs, spark.read.parquet(f"{tmp_path}/docs"), docs.where("doc_id is null or doc_id > 0").repartition(2)):
+        for f in (exact_dedup.drop_copies, simhash.keep_one):
+            kept = f(df)
+            assert kept.columns == df.columns
+            assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == want, f
+        mixed = mixing.mixed_documents(df, budget=2.0).collect()
+        assert sorted(repr((r.doc_id, r.text)) for r in mixed) == sorted(2 * [repr(r) for r in rows])
 
 
 def test_dedup_drops_the_rows_that_lost(spark):
@@ -239,6 +255,25 @@ def test_mixing(spark):
     assert again == {i: x.taken for i, x in got.items()}
 
 
+def test_mixing_small_weights(spark):
+    """Weights far below one: the order of keys is still a weighted draw, not that of ids, and ranges stay small."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "'a b' as text", "'s' as source")
+    for quality in (0.05, 0.001, 1e-6):
+        m = mixing.Mix(docs, budget=0.5, quality=mixing.F.lit(quality))
+        assert m.rows.groupBy("r2").count().agg({"count": "max"}).first()[0] < 12
+        taken = [r.doc_id for r in mixing.mix(docs, budget=0.5, quality=mixing.F.lit(quality)).where("taken > 0").collect()]
+        assert len(taken) == 2000 and 800 < sum(i < 2000 for i in taken) < 1200
+    good = mixing.F.when(mixing.F.col("doc_id") < 2000, 1.0).otherwise(0.1)
+    assert sum(r.doc_id < 2000 for r in mixing.mix(docs, budget=0.5, quality=good).where("taken > 0").collect()) > 1500
+
+
+def test_mixing_without_ids(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('t', id, ' b') as text", "'s' as source")
+    m = mixing.Mix(docs)
+    assert m.rows.groupBy("key").count().count() == 3000
+    assert abs(sum(r.taken for r in mixing.mix(docs).collect()) - 9000) <= 2
+
+
 def test_mixing_odd_rows(docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(TEXTS) and all(r.taken <= 2 * r.size for r in got)
