@@ -3,10 +3,12 @@
 Candidates are found by pattern and validated: card numbers by their check digit, IBANs by theirs, social security numbers by the
 ranges in use, addresses by their octets, dates by the calendar. A valid value is permuted within its own format by a keyed Feistel
 network (see `feistel`): a card number becomes another of the same length and issuer digit with a right check digit, a date another
-date written the same way. The permutation depends on key and kind only, so equal values have equal pseudonyms in all documents,
-however they are spaced, different values have different ones, and with the key it can be undone.
+date written the same way, a mail address another with the same last label. The permutation depends on key and kind (and on a
+date's way of writing), so equal values have equal pseudonyms in all documents, however they are spaced, different values have
+different ones, and with the key it can be undone.
 
-A null or empty text has no findings. A null id is a row like any other, as is a repeated row. An empty table gives an empty result.
+A null or empty text has no findings. A null id is a row like any other, as is a repeated row. A text of any length is read whole.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?"
 #: Cards, social security numbers, telephone numbers, addresses and dates all start with a digit, `+` or `(`.
 NUMBERS = {
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}",
+    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
@@ -113,10 +115,19 @@ def _ip(value: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, n.to_bytes(4)))
 
 
+def _shown(new: date, order: tuple[int, int, int]) -> list[str]:
+    """Day and month as written without leading zeros, in the order of the format."""
+    parts = [str(new.year), str(new.month), str(new.day)]
+    return [parts[order.index(k)] for k in range(3)]
+
+
 def _date(value: str, key: bytes, back: bool) -> str | None:
+    """Another date of the same length, written the same way. Unless all fields have two digits, each keeps its number of digits and
+    its leading zero or lack of one; a month-first date stays one."""
     mark = next(c for c in value if not c.isdigit())
-    parts = [int(x) for x in value.split(mark)]
-    order = (0, 1, 2) if mark == "-" else (2, 1, 0)
+    fields = value.split(mark)
+    parts = [int(x) for x in fields]
+    order = (0, 1, 2) if mark == "-" else (2, 1, 0)  # where year, month and day stand
     if mark == "/" and parts[1] > 12:
         order = (2, 0, 1)  # month first
     try:
@@ -125,33 +136,38 @@ def _date(value: str, key: bytes, back: bool) -> str | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    # A day-first date stays one: its new day may not be read as month first, nor the other way round.
-    while True:
-        day = FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date" if mark != "/" else b"date/" + bytes(order), back=back)
+    wide = all(len(x) >= 2 for x in fields)
+    form = lambda xs: bytes(2 * len(x) + (x[0] == "0") for x in xs)
+    tweak = (b"date" if mark != "/" else b"date/" + bytes(order)) + (b"" if wide else form(fields))
+    while True:  # along the cycle to the next date of this form
+        day = FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, tweak, back=back)
         new = date.fromordinal(day)
-        if mark != "/" or (new.day > 12) == (order == (2, 0, 1)) or order == (2, 1, 0):
-            break
-    if mark == "-":
-        return new.isoformat()
-    shown = (new.day, new.month) if order == (2, 1, 0) else (new.month, new.day)
-    wide = all(len(x) == 2 for x in value.split(mark)[:2])
-    return mark.join(f"{x:02d}" if wide else str(x) for x in shown) + f"{mark}{new.year}"
+        shown = [x.zfill(len(y)) for x, y in zip(_shown(new, order), fields, strict=True)]
+        if (order != (2, 0, 1) or new.day > 12) and (wide or form(shown) == form(fields)):
+            return mark.join(shown)
 
 
-def _email(value: str, key: bytes, back: bool) -> str | None:
-    """Letters become letters of the same case, digits digits; the domain stays."""
-    local, _, domain = value.partition("@")
-    sizes = [26 if c.isalpha() else 10 for c in local if c.isalnum()]
+def _letters(value: str, key: bytes, kind: str, back: bool) -> str:
+    """Letters become letters of the same case, digits digits; what else there is stays."""
+    signs = [c for c in value if c.isalnum()]
+    sizes = [26 if c.isalpha() else 10 for c in signs]
     size, x = 1, 0
-    for c, n in zip((c for c in local if c.isalnum()), sizes, strict=True):
+    for c, n in zip(signs, sizes, strict=True):
         x, size = x * n + (ord(c.lower()) - 97 if n == 26 else int(c)), size * n
-    shape = "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in local)
-    x, out = permute(x, size, key, b"email" + shape.encode(), back=back), []
+    shape = "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in value)
+    x, out = permute(x, size, key, kind.encode() + shape.encode(), back=back), []
     for n in reversed(sizes):
         x, r = divmod(x, n)
         out.append(chr(97 + r) if n == 26 else str(r))
     new = iter(reversed(out))
-    return "".join((y.upper() if c.isupper() else y) if c.isalnum() and (y := next(new)) else c for c in local) + "@" + domain
+    return "".join((y.upper() if c.isupper() else y) if c.isalnum() and (y := next(new)) else c for c in value)
+
+
+def _email(value: str, key: bytes, back: bool) -> str | None:
+    """The local part and each label of the domain, but the last, which stays."""
+    local, _, domain = value.partition("@")
+    *labels, last = domain.split(".")
+    return _letters(local, key, "email", back) + "@" + ".".join([*(_letters(x, key, "label", back) for x in labels), last])
 
 
 MAKERS: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
