@@ -7,7 +7,7 @@ Documents probe the arrays; lines are never joined with lines.
 
 If all shards fit in `broadcast_bytes` they are broadcast and every document is read, probed and answered where it lies. Beyond
 that, documents send each shard the packed hashes of their lines, shards answer with those to drop, and the answers, one packed
-row a document and shard, meet the texts by id. Both ways give the same rows.
+row a document and shard, meet the texts by id. Both ways give the same rows. Documents of any length are split whole.
 
 A null or empty text is one empty line. Lines are counted by row of the table: a line that a document repeats counts once. A null
 id is less than any other; of rows with the same id, all count, and all keep the line if that id is the largest that holds it. An
@@ -46,6 +46,8 @@ class PerfectHash:
     @classmethod
     def build(cls, keys: np.ndarray, gamma: float = 2.0) -> PerfectHash:
         levels, ranks, starts, placed = [], [], [], 0
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("numbers that are the same never part")
         while len(keys):
             size = max(64, int(len(keys) * gamma) + 63 & ~63)
             at = _mixed(keys, len(levels)) % np.uint64(size)
@@ -77,18 +79,31 @@ class PerfectHash:
 
 
 class Shard:
+    """Arrays in the order of a minimal perfect hash over the lines' first 64 bits. Of the lines that share these, all but one are kept
+    aside, in `others`: at a billion lines there are a few."""
+
     def __init__(self, keys: np.ndarray, prints: np.ndarray, counts: np.ndarray, holders: np.ndarray) -> None:
+        own = np.zeros(len(keys), bool)
+        own[np.unique(keys, return_index=True)[1]] = True
+        rest = [x[~own].tolist() for x in (keys, prints, counts, holders)]
+        self.others = {(k, p): (n, h) for k, p, n, h in zip(*rest, strict=True)}
+        keys, prints, counts, holders = keys[own], prints[own], counts[own], holders[own]
         self.hash = PerfectHash.build(keys)
         place = self.hash.places(keys)
         self.prints, self.counts, self.holders = np.empty_like(prints), np.empty(len(keys), np.uint32), np.empty_like(holders)
         self.prints[place], self.counts[place], self.holders[place] = prints, np.minimum(counts, 2**32 - 1), holders
 
-    def drops(self, keys: np.ndarray, prints: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Which of these lines, held by these documents, go: those in the shard whose largest holder is another."""
+    def drops(self, keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, min_docs: int) -> np.ndarray:
+        """Which of these lines, held by these documents, go: those that enough documents hold, the largest of them another."""
         place = self.hash.places(keys)
         known = place >= 0
         known[known] = self.prints[place[known]] == prints[known]
-        known[known] = self.holders[place[known]] != ids[known]
+        known[known] = (self.counts[place[known]] >= min_docs) & (self.holders[place[known]] != ids[known])
+        if self.others:
+            for i, line in enumerate(zip(keys.tolist(), prints.tolist(), strict=True)):
+                if line in self.others:
+                    n, holder = self.others[line]
+                    known[i] = n >= min_docs and holder != ids[i]
         return known
 
 
@@ -170,18 +185,18 @@ def dedup_lines(docs: DataFrame, *, least: int = 20, min_docs: int = 3, shard_li
     """doc_id, n_lines (before), n_dropped, kept_text (null unless `with_text`), kept_sha256: a row for each row of `docs`."""
     spark = docs.sparkSession
     docs = id_and_text(docs)
+    min_docs = max(1, min_docs)
     counts = materialise(line_counts(docs, least=least, min_docs=min_docs))
     n = counts.count()
     shards = max(1, -(-n // shard_lines))
     built = materialise(build_shards(counts, shards))
     size = built.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     if size <= broadcast_bytes:
-        return _probe_here(docs, spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in built.toLocalIterator()}), shards, least, with_text)
-    return _probe_there(docs, built, shards, least, with_text)
-
+        return _probe_here(docs, spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in built.toLocalIterator()}), shards, least, min_docs, with_text)
+    return _probe_there(docs, built, shards, least, min_docs, with_text)
 
 
-def _probe_here(docs: DataFrame, blobs, shards: int, least: int, with_text: bool) -> DataFrame:
+def _probe_here(docs: DataFrame, blobs, shards: int, least: int, min_docs: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
@@ -195,7 +210,7 @@ def _probe_here(docs: DataFrame, blobs, shards: int, least: int, with_text: bool
                 out = np.zeros(len(hi), bool)
                 for s in set(home.tolist()) & tables.keys():
                     own = home == s
-                    out[own] = tables[s].drops(hi[own], lo[own], np.full(int(own.sum()), ids[k]))
+                    out[own] = tables[s].drops(hi[own], lo[own], np.full(int(own.sum()), ids[k]), min_docs)
                 return out
 
             yield _answer(batch, drops, least, with_text)
@@ -203,7 +218,7 @@ def _probe_here(docs: DataFrame, blobs, shards: int, least: int, with_text: bool
     return docs.mapInArrow(run, REPORT)
 
 
-def _probe_there(docs: DataFrame, built: DataFrame, shards: int, least: int, with_text: bool) -> DataFrame:
+def _probe_there(docs: DataFrame, built: DataFrame, shards: int, least: int, min_docs: int, with_text: bool) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each batch and shard one row: hashes and ids, packed; also a part number that spreads a shard's askers."""
         from pyspark import TaskContext
@@ -234,7 +249,7 @@ def _probe_there(docs: DataFrame, built: DataFrame, shards: int, least: int, wit
                     continue
                 rows = np.frombuffer(asked, np.uint64).reshape(-1, 3)
                 hi, lo, ids = rows[:, 0].copy(), rows[:, 1].copy(), rows[:, 2].copy().view(np.int64)
-                gone = table.drops(hi, lo, ids)
+                gone = table.drops(hi, lo, ids, min_docs)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[gone]), pa.array(hi[gone].view(np.int64)), pa.array(lo[gone].view(np.int64))], ["i", "hi", "lo"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,6 +121,16 @@ def test_perfect_hash():
     assert sorted(h.places(keys).tolist()) == list(range(len(keys)))
 
 
+def test_lines_that_share_half_a_hash():
+    """Lines are told apart by 128 bits; their first 64 may be the same."""
+    u = lambda *x: np.array(x, np.uint64)
+    shard = line_dedup.Shard(u(5, 5, 7, 5), u(1, 2, 3, 4), np.array([3, 4, 3, 2]), np.array([10, 20, 30, 40]))
+    assert shard.drops(u(5, 5, 7, 5, 5, 9), u(1, 2, 3, 4, 9, 1), np.array([11, 20, 31, 1, 1, 1]), 3).tolist() == [True, False, True, False, False, False]
+    assert shard.drops(u(5, 5), u(1, 2), np.array([10, 21]), 3).tolist() == [False, True]
+    with pytest.raises(ValueError):
+        line_dedup.PerfectHash.build(u(5, 5, 7))
+
+
 def test_simhash(docs):
     def slow(t):
         w = [x for x in "".join(" " if c in WS else c for c in t or "").split(" ") if x]
@@ -338,6 +348,27 @@ def test_pseudonyms_of_adjacent_numbers():
         assert (s, s + len(value), kind) in spans and value not in new and new.endswith(text[s + len(value) :]), text
 
 
+def test_pseudonyms_keep_the_form():
+    """Whatever digits and marks a text has: pseudonyms keep every character's class and length, are undone by the key, and equal
+    values have equal ones."""
+    r = random.Random(9)
+    shape = lambda t: "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in t)
+    for k in range(400):
+        parts = [str(r.randrange(1, 32)), str(r.randrange(1, 14)), str(r.choice((1850, 1987, 2024)))]
+        parts = [x.zfill(r.choice((1, 2))) for x in parts]
+        text = "".join(f"{x}{m}" for x, m in zip(parts, (r.choice("./-, "), r.choice("./-, "), ""), strict=True)) + " " + "".join(r.choice("0123456789  --./@a+(") for _ in range(r.randrange(40)))
+        new, spans = pii.replaced(text, b"k")
+        assert shape(new) == shape(text) and all(0 <= s < e <= len(text) for s, e, _ in spans), text
+        if len(spans) == 1 and spans[0][2] == "date":
+            assert pii.replaced(new, b"k", back=True)[0] == text, text
+    for text in ("12.05/2020", "on 12/05.2020 or 1-2/2020"):
+        assert pii.replaced(text, b"k") == (text, [])
+    days = {f"{d}.{m}.2020" for d in range(1, 10) for m in range(1, 10)}
+    assert len({pii.replaced(x, b"k")[0] for x in days}) == len(days)
+    one, other = (pii.replaced(x, b"k")[0] for x in ("ann.lee@mail.example.com", "bob.ray@mail.example.com"))
+    assert one.partition("@")[2] == other.partition("@")[2] != "mail.example.com" and one.endswith(".com")
+
+
 def test_pseudonyms_table(docs):
     got = pii.pseudonymised(docs, key=b"k").collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((i, t or "")) for i, t in TEXTS)
