@@ -2,10 +2,13 @@
 against brute force."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import random
+import textwrap
 import zlib
 from urllib.parse import quote
 
@@ -308,6 +311,70 @@ def test_secrets_layers(hidden):
     assert more and all(11 <= s < e <= 11 + len(hidden) for s, e, *_ in more)
 
 
+SECRET = b"my secret: swordfish99 ok"
+
+
+def b64(data: bytes) -> str:
+    return base64.b64encode(data).decode()
+
+
+def raw_deflate(data: bytes) -> bytes:
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(data) + c.flush()
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        b64(bz2.compress(SECRET)), b64(lzma.compress(SECRET)), b64(raw_deflate(3 * SECRET)), b64(gzip.compress(b"nothing at all") + gzip.compress(SECRET)), b64(zlib.compress(gzip.compress(bz2.compress(SECRET)))),
+        b64(gzip.compress(b" " * (17 << 20) + SECRET)), b64(gzip.compress(SECRET + b" " + random.Random(3).randbytes(3000)))[:-400], "\n".join(textwrap.wrap(b64(gzip.compress(bytes(range(256)) * 2 + SECRET)), 64)),
+        "\r\n ".join(textwrap.wrap(b64(b"a long text that goes on for a while, over a line, and then the secret: swordfish99 ok and so on"), 76)), b64(SECRET.decode().encode("utf-16")), b64(SECRET.decode().encode("utf-16-be")),
+        b64(b"my sec \xff secret: swordfish99 ok"), SECRET.hex(), "%E2%82%73ecret=swordfish99",
+    ],
+)
+def test_secrets_in_more_layers(hidden):
+    text = f"ünd before {hidden} after"
+    base, more = secrets.scan(text)
+    assert more and all(11 <= s < e <= 11 + len(hidden) for s, e, *_ in more)
+
+
+def test_secrets_spans_after_broken_utf8():
+    """An invalid part of several bytes is one character of the layer and all its escapes of the text."""
+    for raw in (b"\xe2\x82secret=swordfish99", b"\xff\xfe\xc3secret=swordfish99", b"\xf0\x9f\x98secret=swordfish99\xe2", "é🙂secret=swordfish99".encode()):
+        text = "".join(f"%{b:02X}" for b in raw)
+        (s, e, kind, _), at = secrets.scan(text)[1][0], raw.index(b"secret")
+        assert (s, e, kind) == (3 * at, 3 * (at + 18), "assign")
+
+
+def test_secrets_against_a_plain_decoder():
+    """Random nestings of a secret; what a layer holds is found by undoing them one by one."""
+    r = random.Random(6)
+    coders = [lambda t: quote(t, safe=""), lambda t: b64(t.encode()), lambda t: b64(gzip.compress(t.encode())), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(f"&#{ord(c)};" for c in t), lambda t: t.encode().hex()]
+    for _ in range(150):
+        word = "".join(r.choice("abcdefgh0123") for _ in range(r.randrange(6, 20)))
+        t = f"{r.choice(('wär', 'so', 'x'))} token={word} {r.choice(('ünd', 'and'))} more words"
+        for coder in r.choices(coders, k=r.randrange(1, 4)):
+            t = coder(t)
+        before = r.choice(("é: ", "(", ""))
+        more = secrets.scan(f"{before}{t}) end")[1]
+        assert any(k == "assign" for _, _, k, _ in more) and all(len(before) <= s < e <= len(before) + len(t) for s, e, *_ in more), t
+
+
+def test_secrets_in_small_windows():
+    """Whatever the window, the same kinds are found in a compressed layer."""
+    filler = " ".join(f"w{i}" for i in range(3000))
+    for inner in (SECRET, quote(SECRET.decode(), safe="").encode(), b64(SECRET).encode(), b64(6000 * b"x" + b" " + SECRET).encode(), b"AKIA" + b"B" * 9000):
+        text = b64(gzip.compress(f"{filler} ".encode() + inner + b" " + filler.encode()))
+        want = {k for *_, k, _ in secrets.scan(text)[1]}
+        assert want and all({k for *_, k, _ in secrets.scan(text, w)[1]} == want for w in (64, 1000, 5000, 20000))
+
+
+def test_secrets_ends():
+    """Texts that decode to themselves or to long runs of escapes end, and soon."""
+    for text in ("%25" * 20000, "\\u005c" * 20000, "%FF" * 30000, "&amp;" * 20000, "QUJD" * 5000, "\n".join(["QUJD" * 19] * 4000), "/" * 40000, "ab" * 30000):
+        secrets.scan(text)
+
+
 def test_secrets_table(docs):
     got = secrets.secret_spans(docs).collect()
     assert len(got) == len(TEXTS) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in got)
