@@ -2,17 +2,18 @@
 
 Terms (words, and word beginnings, for languages that build words) are counted over labelled training rows, and those that tell
 toxic from clean become lexicon voters, beside fixed word lists and text patterns. A generative label model then estimates, without
-trusting any one voter, how often each votes and how often it is right: a mixture of toxic and clean with voters independent given
-the class, fitted by EM; the labels themselves are one voter more. Voters are not independent, so their correlations given the class
-are estimated too, and a voter counts for less the more the others repeat it. A logistic regression learns the posterior labels from
-term counts and rates, and scores every whole text.
+trusting any one voter, how often each votes and how often it is right: a mixture of toxic and clean, fitted by EM, that starts from
+what most voters say; the given labels are one voter more, as fallible as the rest. Voters are not independent given the class, so
+the model has correlations in it: each voter's votes depend on the class and on one other voter, along the tree of pairs that tell
+most of each other (their mutual information given the class), which is found anew as the posteriors change. A copy of a voter then
+adds nothing. A logistic regression learns the posterior labels from term counts and rates, and scores every whole text.
 
-Only the fit uses a bounded sample: about `sample` labelled training rows at most, drawn by a hash. Scores cover everything. Language, source and id are no inputs, and rows held out (crc32 of the id, modulo 5, is 0) are never
-learned from.
+Only the fit uses a bounded sample: about `sample` labelled training rows at most, drawn by a hash. Scores cover everything. Language,
+source and id are no inputs, and rows held out (crc32 of the id, modulo 5, is 0) are never learned from.
 
 A null or empty text gets the score that the model gives a text without terms. A null id counts as training (it has no label); a
-repeated row is scored like any other. Without labelled rows of both classes the word lists decide alone. An empty table gives an
-empty result.
+repeated row is scored like any other. Texts of any length are scored whole. Without labelled rows of both classes the word lists
+decide alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,37 +138,65 @@ class Vocabulary:
         return c, n
 
 
+def spanning_tree(likeness: np.ndarray) -> list[int]:
+    """For each node its parent in the tree of the largest likeness in all, rooted at the first node (-1); by Prim's rule."""
+    m = len(likeness)
+    parent, best, left = [-1] * m, likeness[0].copy() if m else np.zeros(0), set(range(1, m))
+    near = np.zeros(m, np.int64)
+    while left:
+        k = max(left, key=lambda i: (best[i], -i))
+        left.remove(k)
+        parent[k] = int(near[k])
+        closer = likeness[k] > best
+        best[closer], near[closer] = likeness[k][closer], k
+    return parent
+
+
 @dataclass
 class LabelModel:
-    """Classes 0 and 1; votes -1 (clean), 0 (none), 1 (toxic). rates[c, v, k]: how often voter k votes v - 1 in class c."""
+    """Classes 0 and 1; votes -1 (clean), 0 (none), 1 (toxic). rates[c, k, v]: how often voter k votes v - 1 in class c. parent: the
+    voter that a voter's votes depend on, given the class; given[c, k, u, v]: how often it votes v - 1 if that one votes u - 1."""
 
     prior: float = 0.1
-    rates: np.ndarray = field(default_factory=lambda: np.zeros((2, 3, 0)))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rates: np.ndarray = field(default_factory=lambda: np.zeros((2, 0, 3)))
+    parent: list[int] = field(default_factory=list)
+    given: np.ndarray = field(default_factory=lambda: np.zeros((2, 0, 3, 3)))
     correlation: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
-        """EM from a first guess of the posteriors; returns the last. Every few rounds the correlations given the class are
-        estimated anew from what the rates leave unexplained."""
-        q, m = start.astype(np.float64), votes.shape[1]
-        self.weight = np.ones(m)
-        shown = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
+    def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 30, smooth: float = 1.0, shrink: float = 10.0, sure: float = 40.0, share: float = 0.2) -> np.ndarray:
+        """EM from a first guess of the posteriors; returns the last. The tree is found anew every few rounds. Pairs count as if `shrink`
+        rows more were independent, so few rows don't make correlations. An edge stays if it is significant (2 n times the information,
+        of eight degrees of freedom, over `sure`) and tells over `share` of what one voter's votes leave open; weaker ones are rather
+        what a guess of the class leaves unexplained."""
+        q, (n, m) = start.astype(np.float64), votes.shape
+        self.parent = [-1] * m
+        shown = np.concatenate([(votes == v).astype(np.float64) for v in (-1, 0, 1)], axis=1).reshape(n, 3, m).transpose(0, 2, 1).reshape(n, 3 * m)
         for step in range(rounds):
             self.prior = float(np.clip(q.mean(), 0.005, 0.5))
-            self.rates = np.stack([np.stack([(w @ x + 0.5) / (w.sum() + 1.5) for x in shown]) for w in (1 - q, q)])
-            if step % 5 == 4 or step == 0:
-                expected = np.stack([r[2] - r[0] for r in self.rates])
-                rest = votes - ((1 - q)[:, None] * expected[0] + q[:, None] * expected[1])
-                scale = np.sqrt((rest**2).mean(0)) + 1e-9
-                self.correlation = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
-                # The effective number of voters in a correlated group: each gets its share of one voice.
-                self.weight = 1 / np.maximum(np.clip(self.correlation, 0, 1).sum(1), 1.0)
+            # Pairwise counts of all voters in one product for each class; the diagonal blocks are the single ones.
+            pairs = np.stack([shown.T @ (shown * w[:, None]) for w in (1 - q, q)]).reshape(2, m, 3, m, 3).transpose(0, 1, 3, 2, 4)
+            total = np.array([(1 - q).sum(), q.sum()])[:, None, None]
+            single = np.einsum("cjjvv->cjv", pairs)
+            self.rates = (single + smooth / 3) / (total + smooth)
+            alone = self.rates[:, :, None, :, None] * self.rates[:, None, :, None, :]
+            joint = (pairs + shrink * alone) / (total[..., None, None] + shrink)  # of two voters
+            if step % 5 == 0:
+                told = (joint * np.log(joint / alone)).sum((3, 4))
+                self.correlation = (1 - self.prior) * told[0] + self.prior * told[1]
+                entropy = np.einsum("c,ck->k", [1 - self.prior, self.prior], -(self.rates * np.log(self.rates)).sum(2))
+                strong = (2 * n * self.correlation > sure) & (self.correlation > share * np.minimum(entropy[:, None], entropy))
+                self.parent = [up if up >= 0 and strong[up, k] else -1 for k, up in enumerate(spanning_tree(self.correlation * strong))]
+            up = [pairs[:, self.parent[k], k] for k in range(m)]
+            self.given = np.stack([(x + shrink * self.rates[:, k, None]) / (x.sum(2, keepdims=True) + shrink) for k, x in enumerate(up)], axis=1)
             q = self.posterior(votes)
         return q
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        log = np.log(self.rates[1] / self.rates[0])
-        score = np.log(self.prior / (1 - self.prior)) + sum((votes == v).astype(np.float64) @ (log[v + 1] * self.weight) for v in (-1, 0, 1))
+        v = votes.astype(np.int64) + 1
+        alone, given = np.log(self.rates[1] / self.rates[0]), np.log(self.given[1] / self.given[0])
+        score = np.full(len(v), np.log(self.prior / (1 - self.prior)))
+        for k, up in enumerate(self.parent):
+            score += alone[k, v[:, k]] if up < 0 else given[k, v[:, up], v[:, k]]
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
@@ -244,7 +273,8 @@ def fit(rows: list, vocabulary: list[str]) -> Model:
     toxic = np.array([r.toxic for r in rows])
     labels = LabelModel()
     votes = np.column_stack([np.array([np.frombuffer(r.votes, np.int8) for r in rows]), np.where(toxic == 1, 1, -1).astype(np.int8)])
-    q = labels.fit(votes, np.where(toxic == 1, 0.9, 0.05))
+    says = votes[:, -1] + np.sign(votes[:, :-1].sum(1))  # the labels, and what most of the others say
+    q = labels.fit(votes, np.where(says > 0, 0.9, 0.05))
     weights, bias = logistic(np.array([features(np.frombuffer(r.counts, np.float32), r.n) for r in rows]), q)
     return Model(Vocabulary(vocabulary), weights, bias, labels)
 
