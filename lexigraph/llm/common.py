@@ -20,13 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, level: int = 3) -> DataFrame:
     """`df` as a written table in the shared folder, so that a lost executor costs a read, not a recomputation.
 
     The table stays for the session, as lazy results may still read it, and goes at exit."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexigraph-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     atexit.register(delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, shared_dir
 from .common import table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
@@ -14,7 +17,7 @@ from .mixing import mix, plain_share
 from .pieces import round_trip
 from .pii import pseudonymised
 from .secrets import secret_spans
-from .shards import training_order
+from .shards import read_shards, training_order, write_shards
 from .simhash import near_groups
 from .sketches import edited_prints
 from .toxicity import toxicity
@@ -46,7 +49,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(table(spark, sf_dir))
+    """The sequences as they are read back from the shards that the query writes."""
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, folder)
+    return read_shards(write_shards(training_order(table(spark, sf_dir)), folder), folder)
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,28 @@
 """Token output in training order.
 
 Documents are encoded once; their tokens, each document closed by an end token, make one stream, cut into sequences of a fixed length.
-Where a document lies in the stream follows from what its task has encoded before it and from the sums of the tasks before, a table
-as long as there are tasks. Sequence i of N gets slot p(i), p a keyed Feistel permutation of range(N) (walked along its cycle into the
-range), so the training order is a shuffle that nobody has to store: any slot's sequence, and any sequence's slot, can be computed.
-Pieces move once, by shard; a shard is a run of slots, sorted, each of the same number of bytes, so slot s is read at (s mod
-slots-a-shard) * stride of its shard, and a reader resumes at any slot.
-
-The order of the stream is that of the rows as read, fixed by the intermediate table: a retried task writes what it would have
-written. The last sequence is filled up with end tokens. A null or empty text is an end token only; a null id is kept as null;
-repeated rows are encoded each. An empty table gives no sequences and no shards.
+The stream has the order of ids, and of a hash of the text under one id, however the table is split into files and tasks: where a
+document lies in it follows from running sums over a table of ids and lengths only. Sequence i of N gets slot p(i), p a keyed Feistel
+permutation of range(N) (walked along its cycle into the range), so the training order is a shuffle that nobody has to store: any
+slot's sequence, and any sequence's slot, can be computed. Pieces move once, dealt by ranges of slots; a shard is a run of slots,
+sorted, each of the same number of bytes, so slot s is read at (s mod slots-a-shard) * stride of its shard, and a reader resumes at
+any slot. Each range is a number of whole shards, about `task_bytes`, so tasks grow in number with the data, not in size.
+
+The last sequence is filled up with end tokens. A null or empty text is an end token only; a null id comes last and is kept as null;
+repeated rows are encoded each. A text of any length is encoded whole and cut. An empty table gives no sequences and no shards.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialise
@@ -45,7 +45,7 @@ def encoder(ranks: dict[bytes, int]):
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(task, start, n, doc_id, tokens): start counts the tokens of the task before the document; tokens are unsigned shorts. The
+    """(task, at, n, doc_id, tie, tokens): at numbers the rows of a task, tie is a hash of the text; tokens are unsigned shorts. The
     vocabulary, some 50,000 ranks, is read on the driver and broadcast."""
     ranks = load_ranks(vocabulary)
     if len(ranks) >= 2**16 - 1:
@@ -59,45 +59,83 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                rows = [np.array([*bpe.encode_ordinary(t or ""), end], "<u2") for t in part.column(1).to_pylist()]
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                rows = [np.array([*bpe.encode_ordinary(t), end], "<u2") for t in texts]
+                tie = np.array([xxhash.xxh64_intdigest(t.encode()) for t in texts], np.uint64).view(np.int64)
                 n = np.array([len(r) for r in rows], np.int64)
-                start = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), task)), pa.array(start), pa.array(n), part.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["task", "start", "n", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rows), task)), pa.array(np.arange(at, at + len(rows))), pa.array(n), part.column(0), pa.array(tie), pa.array([r.tobytes() for r in rows], pa.binary())],
+                    ["task", "at", "n", "doc_id", "tie", "tokens"],
+                )
+                at += len(rows)
+
+    return id_and_text(docs).mapInArrow(run, "task long, at long, n long, doc_id long, tie long, tokens binary")
+
+
+def stream_starts(table: DataFrame, rows: int, part_rows: int = 1 << 20) -> DataFrame:
+    """(task, at, start): how many tokens the stream has before each row of `encoded`. Running sums within ranges of ids, and of the
+    ranges' sums."""
+    order = F.col("doc_id").isNull(), F.col("doc_id"), F.col("tie")
+    parts = max(1, -(-rows // part_rows))
+    dealt = materialise(table.select("task", "at", "n", "doc_id", "tie").repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("sum")).select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = dealt.withColumn("own", F.sum("n").over(own) - F.col("n"))
+    return running.join(F.broadcast(sums), "part").select("task", "at", (F.col("base") + F.col("own")).alias("start"))
+
+
+def with_starts(table: DataFrame, broadcast_rows: int) -> tuple[DataFrame, int]:
+    """(start, n, doc_id, tokens) and the number of tokens in all. Up to `broadcast_rows` starts are broadcast, packed by task; more of
+    them meet the tokens by a join."""
+    spark = table.sparkSession
+    rows, total = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    starts = materialise(stream_starts(table, rows))
+    if rows > broadcast_rows:
+        return table.join(starts, ["task", "at"]).select("start", "n", "doc_id", "tokens"), total
+    packed = starts.groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "start"))), lambda x: x["start"]).alias("starts"))
+    shared = spark.sparkContext.broadcast({r.task: np.array(r.starts, np.int64) for r in packed.toLocalIterator()})
 
-    return id_and_text(docs).mapInArrow(run, "task long, start long, n long, doc_id long, tokens binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            task, at = (batch.column(k).to_pylist() for k in (0, 1))
+            start = np.array([shared.value[t][a] for t, a in zip(task, at, strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(start), *(batch.column(k) for k in (2, 3, 4))], ["start", "n", "doc_id", "tokens"])
+
+    return table.select("task", "at", "n", "doc_id", "tokens").mapInArrow(run, "start long, n long, doc_id long, tokens binary"), total
 
 
-def training_order(docs: DataFrame, *, length: int = 1024, slots: int = 4096, key: int = 20260101, vocabulary: str = VOCABULARY) -> DataFrame:
+def training_order(
+    docs: DataFrame, *, length: int = 1024, slots: int = 4096, key: int = 20260101, vocabulary: str = VOCABULARY, task_bytes: int = 128 << 20, broadcast_rows: int = 1 << 21
+) -> DataFrame:
     """A row for each sequence, sorted within its shard: slot, shard, byte_offset (in the shard), sequence, n_tokens (without the
     filling), doc_ids (of the documents it has tokens of, in order), tokens (binary, 2 * length bytes)."""
     spark = docs.sparkSession
-    table = materialise(encoded(docs, vocabulary))
-    # As many rows as tasks.
-    sums = {r.task: r.n for r in table.groupBy("task").agg(F.sum("n").alias("n")).collect()}
-    base, total = {}, 0
-    for task in sorted(sums):
-        base[task], total = total, total + sums[task]
+    table = materialise(encoded(docs, vocabulary), level=9)
+    placed, total = with_starts(table, broadcast_rows)
     count = -(-total // length)
-    shared, end = spark.sparkContext.broadcast(base), len(load_ranks(vocabulary))
+    end = len(load_ranks(vocabulary))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces, compressed each, as shuffles of tokens are large."""
+        codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
             rows = []
-            for task, start, n, doc_id, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, stop = shared.value[task] + start, shared.value[task] + start + n
-                first = at
+            for start, n, doc_id, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, stop = start, start + n
                 while at < stop:
                     upto = min(stop, (at // length + 1) * length)
-                    rows.append((at // length, at % length, doc_id, tokens[2 * (at - first) : 2 * (upto - first)]))
+                    piece = tokens[2 * (at - start) : 2 * (upto - start)]
+                    rows.append((at // length, at % length, doc_id, upto - at, codec.compress(piece, asbytes=True)))
                     at = upto
             sequence = np.array([r[0] for r in rows], np.int64)
             slot = permute_array(sequence, count, key)
-            yield pa.RecordBatch.from_arrays([pa.array((slot // slots).astype(np.int64)), pa.array(slot), pa.array(sequence), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["shard", "slot", "sequence", "at", "doc_id", "tokens"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sequence), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds))], ["slot", "sequence", "at", "doc_id", "n", "tokens"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces come sorted by slot and place."""
-        now, ids, parts = None, [], []
+        now, ids, parts, codec = None, [], [], pa.Codec("zstd")
 
         def closed() -> tuple:
             data = b"".join(parts)
@@ -110,25 +148,25 @@ def training_order(docs: DataFrame, *, length: int = 1024, slots: int = 4096, ke
 
         for batch in batches:
             out = []
-            for slot, sequence, doc_id, tokens in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for slot, sequence, doc_id, n, tokens in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if now is not None and now[0] != slot:
                     out.append(closed())
                     ids.clear()
                     parts.clear()
                 now = (slot, sequence)
                 ids.append(doc_id)
-                parts.append(tokens)
+                parts.append(codec.decompress(tokens, 2 * n, asbytes=True))
             if out:
                 yield batch_of(out)
         if parts:
             yield batch_of([closed()])
 
-    pieces = table.mapInArrow(cut, "shard long, slot long, sequence long, at int, doc_id long, tokens binary")
-    # A range of shards a partition; a shard is never cut.
-    shards = -(-count // slots)
-    tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = pieces.withColumn("part", F.floor(F.col("shard") * tasks / max(1, shards)).cast("int")).repartition(tasks, "part").sortWithinPartitions("slot", "at")
-    return dealt.select("slot", "sequence", "doc_id", "tokens").mapInArrow(join, SEQUENCES)
+    pieces = placed.mapInArrow(cut, "slot long, sequence long, at int, doc_id long, n int, tokens binary")
+    # A range of whole shards a task, equal ranges, as slots are all taken.
+    shards = max(1, -(-count // slots))
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * length * count // task_bytes)))
+    dealt = pieces.repartitionById(tasks, (F.floor(F.col("slot") / slots) * tasks / shards).cast("int")).sortWithinPartitions("slot", "at")
+    return dealt.select("slot", "sequence", "doc_id", "n", "tokens").mapInArrow(join, SEQUENCES)
 
 
 SEQUENCES = "slot long, shard long, byte_offset long, sequence long, n_tokens int, doc_ids array<long>, tokens binary"
@@ -140,38 +178,61 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+WRITTEN = "slot long, shard long, path string, byte_offset long, sequence long, n_tokens int, doc_ids array<long>"
+
+
 def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
     """Writes shard-NNNNNN.bin files to a folder that all executors reach, whole or not at all (under another name, then renamed, so a
-    retried task replaces what it wrote); returns shard, path, first_slot, n_slots, n_bytes, sha256. An action on the result writes."""
+    retried task replaces what it wrote), and returns their index: a row for each sequence, as `training_order` has it, with the path
+    in place of the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         files, top = _files(folder)
         files.create_dir(top, recursive=True)
-        mark, now, out, temp, first, n, digest = TaskContext.get().taskAttemptId(), None, None, "", 0, 0, None
+        mark, now, out, temp = TaskContext.get().taskAttemptId(), None, None, ""
+        path = lambda shard: str(PurePosixPath(top) / f"shard-{shard:06d}.bin")
 
-        def close() -> pa.RecordBatch:
+        def close() -> None:
             out.close()
-            path = str(PurePosixPath(top) / f"shard-{now:06d}.bin")
-            files.move(temp, path)
-            return pa.RecordBatch.from_pydict({"shard": [now], "path": [path], "first_slot": [first], "n_slots": [n], "sha256": [digest.hexdigest()]})
+            files.move(temp, path(now))
 
         for batch in batches:
-            for slot, shard, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if shard != now:
+            slot, shard, offset, sequence, n, ids, tokens = (batch.column(k) for k in range(7))
+            shards = shard.to_pylist()
+            for own, data in zip(shards, tokens.to_pylist(), strict=True):
+                if own != now:
                     if out is not None:
-                        yield close()
-                    now, first, n, digest = shard, slot, 0, hashlib.sha256()
-                    temp = str(PurePosixPath(top) / f".shard-{shard:06d}.{mark}")
+                        close()
+                    now, temp = own, str(PurePosixPath(top) / f".shard-{own:06d}.{mark}")
                     out = files.open_output_stream(temp)
-                out.write(tokens)
-                digest.update(tokens)
-                n += 1
+                out.write(data)
+            yield pa.RecordBatch.from_arrays([slot, shard, pa.array([path(x) for x in shards], pa.string()), offset, sequence, n, ids], [x.split()[0] for x in WRITTEN.split(", ")])
         if out is not None:
-            yield close()
+            close()
 
-    return sequences.select("slot", "shard", "tokens").mapInArrow(run, "shard long, path string, first_slot long, n_slots long, sha256 string")
+    return materialise(sequences.mapInArrow(run, WRITTEN))
+
+
+def read_shards(index: DataFrame, folder: str, *, length: int = 1024) -> DataFrame:
+    """The index with `tokens`, as they are read from the shards, file after file in the order of slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, now, file = _files(folder)[0], None, None
+        for batch in batches:
+            tokens = []
+            for path, offset in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if path != now:
+                    if file is not None:
+                        file.close()
+                    now, file = path, files.open_input_file(path)
+                if file.tell() != offset:
+                    file.seek(offset)
+                tokens.append(file.read(2 * length))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.binary())], [*batch.schema.names, "tokens"])
+
+    return index.mapInArrow(run, WRITTEN + ", tokens binary")
 
 
 def read_slots(folder: str, start: int, *, length: int = 1024, slots: int = 4096) -> Iterator[tuple[int, np.ndarray]]:

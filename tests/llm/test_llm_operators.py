@@ -518,14 +518,26 @@ def test_shards(docs, tmp_path):
             now = []
         else:
             now.append(t)
-    assert sorted(found[: len(TEXTS)]) == sorted(t or "" for _, t in TEXTS)
+    # The stream has the order of ids, of a hash of the text under one id.
+    assert found[: len(TEXTS)] == [t or "" for _, t in sorted(TEXTS, key=lambda x: (x[0] is None, x[0] or 0))]
     folder = f"file://{tmp_path}"
-    assert sum(r.n_slots for r in shards.write_shards(q, folder).collect()) == n
+    index = shards.write_shards(q, folder)
+    assert index.count() == n and len({r.path for r in index.select("path").distinct().collect()}) == -(-n // 100)
     by = {r.slot: r.tokens for r in rows}
+    assert {r.slot: bytes(r.tokens) for r in shards.read_shards(index, folder, length=64).collect()} == by
     read = list(shards.read_slots(folder, 130, length=64, slots=100))
     assert [s for s, _ in read] == list(range(130, n)) and all(by[s] == t.tobytes() for s, t in read)
 
 
+def test_shards_however_split(docs):
+    """Files, tasks and the way starts are looked up don't change the training order; tasks hold ranges of shards."""
+    order = lambda df, **o: {r.slot: (r.sequence, bytes(r.tokens)) for r in shards.training_order(df, length=64, slots=50, **o).collect()}
+    want = order(docs)
+    assert order(docs.repartition(7)) == order(docs.coalesce(1), broadcast_rows=0) == order(docs, task_bytes=1 << 13) == want
+    part = shards.training_order(docs, length=64, slots=50, task_bytes=1 << 13).select("shard", shards.F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(part) == len({r.shard for r in part}) and [r.p for r in sorted(part)] == sorted(r.p for r in part) and len({r.p for r in part}) > 50
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.load(pieces.MODEL)
@@ -609,14 +621,43 @@ def test_toxicity(spark):
 
 def test_label_model_discounts_copies():
     r = np.random.default_rng(0)
-    y = r.random(2000) < 0.3
-    noisy = lambda p: np.where(r.random(2000) < p, np.where(y, 1, -1), np.where(y, -1, 1)).astype(np.int8)
-    one = noisy(0.8)
-    votes = np.column_stack([one, one, one, noisy(0.8), noisy(0.8), noisy(0.75)])
+    y = r.random(4000) < 0.3
+    noisy = lambda p: np.where(r.random(4000) < p, np.where(y, 1, -1), np.where(y, -1, 1)).astype(np.int8)
+    one, two, three = noisy(0.8), noisy(0.8), noisy(0.75)
+    votes = np.column_stack([one, one, one, two, three])
     m = toxicity.LabelModel()
-    q = m.fit(votes, np.where(votes.sum(1) > 0, 0.9, 0.1))
-    assert m.weight[:3].max() < 0.6 < m.weight[3:].min()
+    q = m.fit(votes, np.where(y, 0.7, 0.3))
     assert ((q > 0.5) == y).mean() > 0.8
+    # Three copies say what one says: the posterior is that of a model without the copies.
+    alone = toxicity.LabelModel().fit(votes[:, [0, 3, 4]], np.where(y, 0.7, 0.3))
+    assert np.abs(alone - q).mean() < 0.03
+    assert {frozenset((k, up)) for k, up in enumerate(m.parent) if up >= 0} & {frozenset((0, 1)), frozenset((1, 2)), frozenset((0, 2))}
+
+
+def test_label_model_estimates_accuracies():
+    r = np.random.default_rng(1)
+    y = r.random(6000) < 0.25
+    accuracy = (0.9, 0.8, 0.7, 0.85, 0.6)
+    votes = np.column_stack([np.where(r.random(6000) < 0.3, 0, np.where(r.random(6000) < a, 1, -1) * np.where(y, 1, -1)) for a in accuracy]).astype(np.int8)
+    m = toxicity.LabelModel()
+    m.fit(votes, np.where(votes.sum(1) > 0, 0.8, 0.1))
+    for k, a in enumerate(accuracy):
+        assert abs(m.rates[1, k, 2] / (m.rates[1, k, 0] + m.rates[1, k, 2]) - a) < 0.07
+    assert abs(m.prior - 0.25) < 0.05
+
+
+def test_spanning_tree():
+    r = np.random.default_rng(2)
+    w = r.random((7, 7))
+    w = w + w.T
+    parent = toxicity.spanning_tree(w)
+    got = sum(w[k, up] for k, up in enumerate(parent) if up >= 0)
+    best, todo, joined = 0.0, sorted(((w[a, b], a, b) for a in range(7) for b in range(a)), reverse=True), {i: i for i in range(7)}
+    for x, a, b in todo:
+        if joined[a] != joined[b]:
+            best += x
+            joined = {k: joined[a] if v == joined[b] else v for k, v in joined.items()}
+    assert got == pytest.approx(best) and parent.count(-1) == 1
 
 
 def test_empty_tables(spark, nothing):
