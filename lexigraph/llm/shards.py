@@ -22,6 +22,7 @@ from pathlib import PurePosixPath
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +106,17 @@ def with_starts(table: DataFrame, broadcast_rows: int) -> tuple[DataFrame, int]:
     return table.select("task", "at", "n", "doc_id", "tokens").mapInArrow(run, "start long, n long, doc_id long, tokens binary"), total
 
 
+def piece_dictionary(table: DataFrame, length: int, rows: int = 400, pieces: int = 8) -> zstandard.ZstdCompressionDict | None:
+    """A dictionary for compressing pieces on their way, trained on the first pieces of a few rows; none if these are too few. What is
+    compressed comes back as it was, whatever the dictionary."""
+    found = [r.tokens for r in table.select(F.substring("tokens", 1, 2 * length * pieces).alias("tokens")).limit(rows).collect()]
+    samples = [bytes(x[i : i + 2 * length]) for x in found for i in range(0, len(x), 2 * length)]
+    try:
+        return zstandard.train_dictionary(1 << 16, samples)
+    except (zstandard.ZstdError, ValueError):
+        return None
+
+
 def training_order(
     docs: DataFrame, *, length: int = 1024, slots: int = 4096, key: int = 20260101, vocabulary: str = VOCABULARY, task_bytes: int = 128 << 20, broadcast_rows: int = 1 << 21
 ) -> DataFrame:
@@ -114,11 +126,13 @@ def training_order(
     table = materialise(encoded(docs, vocabulary), level=9)
     placed, total = with_starts(table, broadcast_rows)
     count = -(-total // length)
-    end = len(load_ranks(vocabulary))
+    end, words = len(load_ranks(vocabulary)), piece_dictionary(table, length)
+    shared = spark.sparkContext.broadcast(words.as_bytes() if words is not None else None)
+    known = lambda: None if shared.value is None else zstandard.ZstdCompressionDict(shared.value)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces, compressed each, as shuffles of tokens are large."""
-        codec = pa.Codec("zstd", compression_level=1)
+        codec = zstandard.ZstdCompressor(level=3, dict_data=known(), write_dict_id=False)
         for batch in batches:
             rows = []
             for start, n, doc_id, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -126,16 +140,16 @@ def training_order(
                 while at < stop:
                     upto = min(stop, (at // length + 1) * length)
                     piece = tokens[2 * (at - start) : 2 * (upto - start)]
-                    rows.append((at // length, at % length, doc_id, upto - at, codec.compress(piece, asbytes=True)))
+                    rows.append((at // length, at % length, doc_id, codec.compress(piece)))
                     at = upto
             sequence = np.array([r[0] for r in rows], np.int64)
             slot = permute_array(sequence, count, key)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sequence), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds))], ["slot", "sequence", "at", "doc_id", "n", "tokens"])
+            kinds = (pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sequence), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds))], ["slot", "sequence", "at", "doc_id", "tokens"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces come sorted by slot and place."""
-        now, ids, parts, codec = None, [], [], pa.Codec("zstd")
+        now, ids, parts, codec = None, [], [], zstandard.ZstdDecompressor(dict_data=known())
 
         def closed() -> tuple:
             data = b"".join(parts)
@@ -148,25 +162,25 @@ def training_order(
 
         for batch in batches:
             out = []
-            for slot, sequence, doc_id, n, tokens in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for slot, sequence, doc_id, tokens in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if now is not None and now[0] != slot:
                     out.append(closed())
                     ids.clear()
                     parts.clear()
                 now = (slot, sequence)
                 ids.append(doc_id)
-                parts.append(codec.decompress(tokens, 2 * n, asbytes=True))
+                parts.append(codec.decompress(tokens))
             if out:
                 yield batch_of(out)
         if parts:
             yield batch_of([closed()])
 
-    pieces = placed.mapInArrow(cut, "slot long, sequence long, at int, doc_id long, n int, tokens binary")
+    pieces = placed.mapInArrow(cut, "slot long, sequence long, at int, doc_id long, tokens binary")
     # A range of whole shards a task, equal ranges, as slots are all taken.
     shards = max(1, -(-count // slots))
     tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * length * count // task_bytes)))
     dealt = pieces.repartitionById(tasks, (F.floor(F.col("slot") / slots) * tasks / shards).cast("int")).sortWithinPartitions("slot", "at")
-    return dealt.select("slot", "sequence", "doc_id", "n", "tokens").mapInArrow(join, SEQUENCES)
+    return dealt.select("slot", "sequence", "doc_id", "tokens").mapInArrow(join, SEQUENCES)
 
 
 SEQUENCES = "slot long, shard long, byte_offset long, sequence long, n_tokens int, doc_ids array<long>, tokens binary"
