@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_tokens, rational_sigmoid, sigmoid, unicode_tokens
+from ..functions.text import ascii_tokens, identifier_words, rational_sigmoid, sigmoid, unicode_tokens
+from .windows import within_budget
 
 Tokenizer = Callable[[Column], Column]
 
@@ -67,8 +68,8 @@ def query_terms(queries: DataFrame, query: str = "query", text: str = "text", to
 
 
 def top(scored: DataFrame, k: int | None, by: tuple[str, ...] = ("query",)) -> DataFrame:
-    """With the rank; the k best of each."""
-    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "doc")))
+    """With the rank; the k best of each. Scores that differ only by the order of addition, in the tenth decimal, are ties."""
+    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "doc")))
     return out if k is None else out.where(F.col("rank") <= k)
 
 
@@ -144,9 +145,36 @@ def bmx_plus(docs: DataFrame, queries: DataFrame, *, k: int | None = 10, k1: flo
     return top(scored, k, (*by, "query"))
 
 
+def prefiltered(files: DataFrame, queries: DataFrame, *, path: str = "path", text: str = "text", doc: str = "doc_id", k: int = 100, head: int = 8192) -> DataFrame:
+    """The k files that match a query best, by entropy BM25 over the words of their paths, three times, and their first characters."""
+    words = F.regexp_replace(path, r"[/\\\\.]", " ")
+    boosted = files.select(F.col(doc), F.concat_ws(" ", words, words, words, F.substring(F.coalesce(F.col(text), F.lit("")), 1, head)).alias("boosted"))
+    return entropy_bm25(tokenised(boosted, doc, "boosted"), queries, k=k)
+
+
+def reranked_lines(lines: DataFrame, queries: DataFrame, *, budget: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Lines (doc, text), each a document, best first, those that match nothing left out, until the next would go over the budget of
+    characters (each line and one more). Of a budget of n characters no more than n lines can be left, so no more are ordered."""
+    found = entropy_bm25(tokenised(lines, "doc", "text", by=by), queries, k=budget, by=by)
+    sized = found.join(lines, [*by, "doc"]).withColumn("size", F.length("text") + 1)
+    return within_budget(sized, (*by, "query"), ["rank"], F.col("size"), budget)
+
+
+def line_query(defs: DataFrame, degrees: DataFrame, by: tuple[str, ...], *, scan: str | None = None, emphasis: int = 3) -> DataFrame:
+    """(by..., term, qtf): what lines are asked for: the words of each definition (by..., name, line), whole and split, the oftener the
+    more calls reach its line, 1 + log2(1 + calls) rounded down, and the words of a scan `emphasis` times. degrees: (by..., line, calls)."""
+    reached = degrees.groupBy(*by, "line").agg(F.sum("calls").alias("calls"))
+    whole, split = F.array_join(unicode_tokens(F.col("name")), " "), F.array_join(identifier_words(F.col("name")), " ")
+    rows = defs.join(reached, [*by, "line"], "left").withColumn("weight", (1 + F.floor(F.log2(1 + F.greatest(F.coalesce("calls", F.lit(0)), F.lit(0))))).cast("long"))
+    texts = rows.select(*by, "weight", F.explode(F.array_distinct(F.array(whole, split))).alias("text")).where("text <> ''")
+    if scan:
+        texts = texts.unionByName(defs.select(*by).distinct().withColumn("weight", F.lit(emphasis).cast("long")).withColumn("text", F.lit(scan)))
+    return texts.select(*by, "weight", F.explode(unicode_tokens(F.col("text"))).alias("term")).groupBy(*by, "term").agg(F.sum("weight").alias("qtf"))
+
+
 def line_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line, score): each document an index of its lines, queried with all its own terms; the best line scores 1, a line
-    without words 0. An index is a document's, so nothing leaves the document's partition after the first shuffle."""
+    without words 0. Statistics are joined by document and term, scores by document and line."""
     rows = docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     by = ("doc_id",)
     tokens = tokenised(rows.where(F.trim("text") != ""), "line", "text", unicode_tokens, by)

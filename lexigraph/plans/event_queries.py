@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bucket, conversation_terms
 from ..operators import events, fusion, lexical
-from .lexical_queries import _BMX, QUERY, _one, sql_postings, sql_query
+from .lexical_queries import _BMX, ASCII, QUERY, _one, sql_postings, sql_query
 from .registry import Tables, registry
 
 REGISTERED, query = registry()
@@ -140,13 +140,13 @@ def family_cap_all_passes(t: Tables) -> DataFrame:
 
 def _rankings(t: Tables) -> tuple[DataFrame, DataFrame]:
     p = t.documents
-    a = p.where("doc_id % 3 <> 0").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))).where("rank <= 25")
-    b = p.where("doc_id % 2 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))).where("rank <= 30")
+    a = p.where(F.contains(F.col("text"), F.lit("the"))).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")))
+    b = p.where(F.contains(F.col("text"), F.lit("an"))).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id")))
     return a.select("lang", F.col("doc_id").alias("doc"), "rank"), b.select("lang", F.col("doc_id").alias("doc"), "rank")
 
 
-@query("""WITH a AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE doc_id % 3 <> 0 QUALIFY r <= 25),
-b AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r FROM documents WHERE doc_id % 2 = 0 QUALIFY r <= 30),
+@query("""WITH a AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE contains(text, 'the')),
+b AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r FROM documents WHERE contains(text, 'an')),
 f AS (SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.doc_id, b.doc_id) AS doc_id, 6e-1 / (10 + coalesce(a.r, (SELECT max(r) + 1 FROM a x WHERE x.lang = b.lang))) + 4e-1 / (10 + coalesce(b.r, (SELECT max(r) + 1 FROM b x WHERE x.lang = a.lang))) AS score FROM a FULL JOIN b ON a.lang = b.lang AND a.doc_id = b.doc_id)
 SELECT lang, doc_id, round(score, 8) AS score, (row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, doc_id))::INT AS rank FROM f""")
 def rrf_fusion(t: Tables) -> DataFrame:
@@ -162,13 +162,12 @@ def alpha_schedule(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.round(a, 6).alias("alpha"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT p_brand, p_partkey, p_size, round(p_retailprice / 1e4, 4)::DOUBLE AS score, row_number() OVER (PARTITION BY p_brand ORDER BY round(p_retailprice / 1e4, 4)::DOUBLE DESC, p_partkey) AS rn FROM part QUALIFY rn <= 40),
+@query("""WITH RECURSIVE o AS (SELECT p_brand, p_partkey, p_size, round(p_retailprice / 1e4, 4)::DOUBLE AS score, row_number() OVER (PARTITION BY p_brand ORDER BY round(p_retailprice / 1e4, 4)::DOUBLE DESC, p_partkey) AS rn FROM part),
 g AS (SELECT p_brand, rn, p_partkey, p_size, score AS anchor, 1 AS grp FROM o WHERE rn = 1 UNION ALL SELECT o.p_brand, o.rn, o.p_partkey, o.p_size, CASE WHEN anchor - score < 5e-2 THEN anchor ELSE score END, CASE WHEN anchor - score < 5e-2 THEN grp ELSE grp + 1 END FROM g JOIN o ON o.p_brand = g.p_brand AND o.rn = g.rn + 1)
 SELECT p_brand, p_partkey, grp AS "group", (row_number() OVER (PARTITION BY p_brand ORDER BY grp, p_size DESC, p_partkey))::INT AS position FROM g""")
 def tie_groups(t: Tables) -> DataFrame:
     scored = t.part.select("p_brand", F.col("p_partkey").alias("key"), F.round(F.col("p_retailprice") / 1e4, 4).alias("score"), F.col("p_size").alias("specificity"))
-    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), "key"))).where("rn <= 40")
-    return fusion.tolerance_groups(best, ("p_brand",)).select("p_brand", F.col("key").alias("p_partkey"), "group", "position")
+    return fusion.tolerance_groups(scored, ("p_brand",)).select("p_brand", F.col("key").alias("p_partkey"), "group", "position")
 
 
 _STOP = "['the','a','an','is','are','was','were','be','to','of','and','in','for','on','with','true','false','null','none']"
@@ -182,16 +181,23 @@ def conversation_query(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", conversation_terms(F.col("text")).alias("terms"))
 
 
-@query()
+@query(f"""WITH {sql_postings()}, q AS (SELECT query, term, count(*) AS qtf FROM (SELECT item_id AS query, unnest({ASCII.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+kn AS (SELECT query, q.term, qtf, idf * (1 + 6e-1 * (1 - h)) AS w, avgdl FROM q JOIN stat USING (term)), tt AS (SELECT query, sum(w * qtf) AS total FROM kn GROUP BY query),
+sc AS (SELECT query, doc, sum(w * qtf / (1 + exp(-12e-1 * (tf - k / 2) / k))) / any_value(total) AS score FROM (SELECT *, 12e-1 * (25e-2 + 75e-2 * dl / avgdl) AS k FROM post JOIN kn USING (term)) JOIN tt USING (query) GROUP BY query, doc),
+rk AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM sc),
+hit AS (SELECT item_id, min(rank) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN rk ON query = item_id AND doc = doc_id GROUP BY item_id)
+SELECT b.item_id, rank::INT AS first_rank FROM benchmark b LEFT JOIN hit USING (item_id)""")
 def benchmark_known_item_recall(t: Tables) -> DataFrame:
-    """For each benchmark passage, the rank of the first document that contains it, by entropy BM25 over all documents."""
-    found = lexical.entropy_bm25(lexical.tokenised(t.documents), lexical.query_terms(t.benchmark, "item_id"), k=100)
-    texts = t.documents.select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
-    hits = found.join(texts, "doc").join(t.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("passage")), "query").where(F.contains("body", "passage"))
-    return hits.groupBy(F.col("query").alias("item_id")).agg(F.min("rank").alias("first_rank"))
+    """For each benchmark passage, the rank of the first document that contains it, by entropy BM25 over all documents; null if none
+    does. The passages are a stated set of queries, asked of every text."""
+    found = lexical.entropy_bm25(lexical.tokenised(t.documents), lexical.query_terms(t.benchmark, "item_id"), k=None)
+    items = t.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
+    hits = t.documents.select(F.col("doc_id").alias("doc"), "text").join(items, F.contains(F.col("text"), F.col("passage"))).select("doc", "query")
+    first = found.join(hits, ["query", "doc"]).groupBy("query").agg(F.min("rank").alias("first_rank"))
+    return items.join(first, "query", "left").select(F.col("query").alias("item_id"), "first_rank")
 
 
-@query(f"WITH {sql_postings()}, {sql_query()}, {_BMX} SELECT doc AS doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, doc))::INT AS rank, 2 AS tier FROM sc QUALIFY rank <= 10")
+@query(f"WITH {sql_postings()}, {sql_query()}, {_BMX} SELECT doc AS doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 9) DESC, doc))::INT AS rank, 2 AS tier FROM sc QUALIFY rank <= 10")
 def fallback_tiers(t: Tables) -> DataFrame:
     """The BM25 ranking of a query, or what BMX+ gives if there is none."""
     q = lexical.query_terms(_one(t, QUERY))

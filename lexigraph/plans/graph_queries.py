@@ -87,13 +87,13 @@ def resolved_calls_within_files(t: Tables) -> DataFrame:
     return joined.groupBy("a", "caller", "b", "callee_name").agg(F.count("*").alias("calls")).select("caller", F.col("callee_name").alias("callee"), "calls")
 
 
-_PAIRS = f"{GRAPH}, p AS (SELECT DISTINCT s.type AS caller, d.type AS callee FROM l JOIN s ON s.id = l.container JOIN s d ON d.id = l.target WHERE s.id % 7 = d.id % 7)"
+_PAIRS = f"{GRAPH}, p AS (SELECT DISTINCT s.type AS caller, d.type AS callee FROM l JOIN s ON s.id = l.container JOIN s d ON d.id = l.target)"
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Types as names: sparse enough for several levels."""
+    """Types as names."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = t.lineitem.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("a % 7 = b % 7")
+    rows = t.lineitem.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b is not null")
     s = t.part.select("p_partkey", "p_type")
     return rows.join(s.select(F.col("p_partkey").alias("a"), F.col("p_type").alias("caller")), "a").join(s.select(F.col("p_partkey").alias("b"), F.col("p_type").alias("callee")), "b").select("caller", "callee")
 
@@ -114,7 +114,7 @@ def impact_bfs_depth3_reverse(t: Tables) -> DataFrame:
 
 
 def _rank_sql(rounds: int) -> str:
-    steps = [f"WITH {GRAPH}, w AS (SELECT s.name AS src, e.name AS dst, count(*)::DOUBLE AS w FROM e JOIN s ON s.id = e.container WHERE s.name < e.name GROUP BY ALL), sh AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM w), n AS (SELECT DISTINCT name FROM s), r0 AS (SELECT name, 1e0 / (SELECT count(*) FROM n) AS p, 1e0 / (SELECT count(*) FROM n) AS rank FROM n)"]
+    steps = [f"WITH {GRAPH}, w AS (SELECT s.name AS src, e.name AS dst, count(*)::DOUBLE AS w FROM e JOIN s ON s.id = e.container GROUP BY ALL), sh AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM w), n AS (SELECT DISTINCT name FROM s), r0 AS (SELECT name, 1e0 / (SELECT count(*) FROM n) AS p, 1e0 / (SELECT count(*) FROM n) AS rank FROM n)"]
     for k in range(1, rounds + 1):
         steps.append(f"r{k} AS (SELECT name, p, 15e-2 * p + 85e-2 * (coalesce((SELECT sum(rank) FROM r{k - 1} WHERE name NOT IN (SELECT src FROM sh)), 0) * p + coalesce(got, 0)) AS rank FROM r{k - 1} LEFT JOIN (SELECT dst, sum(rank * share) AS got FROM r{k - 1} JOIN sh ON src = name GROUP BY dst) ON dst = name)")
     return ", ".join(steps) + f" SELECT name, round(rank, 6) AS rank FROM r{rounds}"
@@ -122,7 +122,7 @@ def _rank_sql(rounds: int) -> str:
 
 @query(_rank_sql(10))
 def pagerank_fixed10(t: Tables) -> DataFrame:
-    links = graph.caller_counts(edges(t), symbols(t)).where("caller < name").groupBy(F.col("caller").alias("src"), F.col("name").alias("dst")).agg(F.sum("calls").cast("double").alias("w"))
+    links = graph.caller_counts(edges(t), symbols(t)).groupBy(F.col("caller").alias("src"), F.col("name").alias("dst")).agg(F.sum("calls").cast("double").alias("w"))
     ranks = graph.pagerank(links, symbols(t).select(F.col("name").alias("node")).distinct(), rounds=10, epsilon=None)
     return ranks.select(F.col("node").alias("name"), F.round("rank", 6).alias("rank"))
 
@@ -187,11 +187,11 @@ def symbol_summary(t: Tables) -> DataFrame:
     return counted.groupBy("file").agg(F.sum("n").alias("symbols"), F.array_join(F.transform(parts, lambda x: F.concat(x["type"], F.lit(" "), x["n"].cast("string"))), ", ").alias("summary"))
 
 
-@query("""WITH u AS (SELECT page_id, url FROM pages), r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) FROM pages WHERE page_id % 2 = 0)
+@query("""WITH u AS (SELECT page_id, url FROM pages), r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) FROM pages)
 SELECT page_id, (SELECT arg_max(root, length(root)) FROM r WHERE root <> '' AND (url = root OR starts_with(url, root || '/'))) AS root FROM u""")
 def longest_prefix_root(t: Tables) -> DataFrame:
     p = t.pages
     a = p.select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)", 1).alias("root"))
-    b = p.where("page_id % 2 = 0").select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root"))
+    b = p.select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root"))
     found = graph.longest_prefix(p.select(F.col("url").alias("path")).distinct(), a.union(b).where("root <> ''"))
     return p.join(found, F.col("url") == F.col("path")).select("page_id", "root")

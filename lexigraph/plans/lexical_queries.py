@@ -38,7 +38,7 @@ sc AS (SELECT doc, sum(w * qtf / (1 + exp(-12e-1 * (tf - k / 2) / k))) / (SELECT
        FROM (SELECT *, 12e-1 * (25e-2 + 75e-2 * dl / avgdl) AS k FROM post JOIN kn USING (term)) GROUP BY doc)"""
 
 
-@query(f"WITH {BM25} SELECT doc AS doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM sc) WHERE rank <= 20")
+@query(f"WITH {BM25} SELECT doc AS doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS rank FROM sc) WHERE rank <= 20")
 def bm25_top_docs(t: Tables) -> DataFrame:
     found = lexical.entropy_bm25(lexical.tokenised(t.documents), lexical.query_terms(_one(t)), k=20)
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
@@ -71,6 +71,28 @@ def index_statistics(t: Tables) -> DataFrame:
     return stats.agg(F.max("n").alias("documents"), F.count("*").alias("terms"), F.round(F.max("avgdl"), 6).alias("mean_length"), F.round(F.avg("entropy"), 6).alias("mean_entropy"))
 
 
+_PATH = "'src ' || coalesce(source, '') || ' doc' || doc_id || ' txt '"
+_BOOSTED = f"({_PATH} || {_PATH} || {_PATH} || coalesce(text, '')[1:8192])"
+
+
+@query(f"WITH {BM25.replace(chr(39) * 2, chr(39) * 2).replace(ASCII.format('coalesce(text, ' + chr(39) * 2 + ')'), ASCII.format(_BOOSTED), 1)} SELECT doc AS doc_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS rank FROM sc) WHERE rank <= 100")
+def bm25_file_prefilter(t: Tables) -> DataFrame:
+    files = t.documents.select("doc_id", "text", F.concat(F.lit("src/"), F.coalesce("source", F.lit("")), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return lexical.prefiltered(files, lexical.query_terms(_one(t))).select(F.col("doc").alias("doc_id"), "rank")
+
+
+_LINE_DOCS = "(SELECT doc_id * 100000 + i AS doc_id, x AS text FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))"
+
+
+@query(f"""WITH {sql_postings(table=_LINE_DOCS)}, {BM25.split('stat AS', 1)[1].split('size)', 1)[1][2:]},
+r AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS rank, length(text) + 1 AS size FROM sc JOIN {_LINE_DOCS} ON doc_id = doc)
+SELECT doc // 100000 AS doc_id, (doc % 100000)::INT AS line, rank::INT AS rank FROM (SELECT *, sum(size) OVER (ORDER BY rank) AS used FROM r) WHERE used <= 15000""")
+def bm25_rerank_lines_budget(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select((F.col("doc_id") * 100000 + F.col("i") + 1).alias("doc"), "text")
+    found = lexical.reranked_lines(rows, lexical.query_terms(_one(t)), budget=15_000)
+    return found.select(F.floor(F.col("doc") / 100000).alias("doc_id"), (F.col("doc") % 100000).cast("int").alias("line"), "rank")
+
+
 _PLUS = r"""
 sg AS (SELECT term, tf, CASE WHEN tf >= 8 THEN 1e0 ELSE (tf*tf*tf + 6e0*tf + 12) / (tf*tf*tf + 12e0*tf + 48) END AS m FROM post),
 sm AS (SELECT term, var_pop(tf) AS v, sum(m) AS mt FROM sg GROUP BY term),
@@ -98,7 +120,7 @@ def bmxplus_all_scores(t: Tables) -> DataFrame:
 @query(f"WITH {sql_postings(UNICODE)}, {_PLUS}, {sql_query(UNICODE)}, "
        """ts AS (SELECT doc, idf * (1 + g * info) * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl)) * qtf AS s, g * info * qtf AS told FROM post JOIN inf USING (term) JOIN q USING (term)),
 sc AS (SELECT doc, sum(s) + sum((exp(2 * s) - 1) / (exp(2 * s) + 1)) / (SELECT count(*) FROM q) * sum(told) AS score FROM ts GROUP BY doc)
-SELECT doc AS doc_id, (row_number() OVER (ORDER BY score DESC, doc))::INT AS rank FROM sc QUALIFY rank <= 10""")
+SELECT doc AS doc_id, (row_number() OVER (ORDER BY round(score, 9) DESC, doc))::INT AS rank FROM sc QUALIFY rank <= 10""")
 def bmxplus_top_docs(t: Tables) -> DataFrame:
     found = lexical.bmx_plus(lexical.tokenised(t.documents, tokens=unicode_tokens), lexical.query_terms(_one(t), tokens=unicode_tokens), k=10)
     return found.select(F.col("doc").alias("doc_id"), "rank")
@@ -111,7 +133,7 @@ j AS (SELECT doc, tf, dl, qtf, idf, en, m, al, al * (dl / avgdl + eb) AS k, n, c
 sc AS (SELECT doc, sum(qtf * (idf / (1 + exp(-al * (tf - k / 2) / greatest(k, 1e-2))) + greatest(en, 1e-1) * sh / ln(1 + n))) AS score FROM j GROUP BY doc)"""
 
 
-@query(f"WITH {sql_postings()}, {sql_query()}, {_BMX} SELECT doc AS doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, doc))::INT AS rank FROM sc QUALIFY rank <= 30")
+@query(f"WITH {sql_postings()}, {sql_query()}, {_BMX} SELECT doc AS doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 9) DESC, doc))::INT AS rank FROM sc QUALIFY rank <= 30")
 def bmx_top_docs(t: Tables) -> DataFrame:
     found = lexical.bmx(lexical.tokenised(t.documents), lexical.query_terms(_one(t)))
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
@@ -128,11 +150,11 @@ _FIELD_QUERY = "steel brand small red anodized blue"
 
 def _field_sql(field: str, weight: str) -> str:
     inner = sql_postings(ASCII, f"coalesce({field}, '')", "part", "p_partkey")
-    return f"""SELECT doc, {weight} * score AS s FROM (WITH {inner}, {sql_query(ASCII, _FIELD_QUERY)}, {_BMX} SELECT doc, score FROM sc QUALIFY row_number() OVER (ORDER BY score DESC, doc) <= 40)"""
+    return f"""SELECT doc, {weight} * score AS s FROM (WITH {inner}, {sql_query(ASCII, _FIELD_QUERY)}, {_BMX} SELECT doc, score FROM sc QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, doc) <= 40)"""
 
 
 @query(f"""WITH u AS ({_field_sql('p_name', '3e0')} UNION ALL {_field_sql('p_brand', '25e-1')} UNION ALL {_field_sql('p_type', '1e0')})
-SELECT doc AS p_partkey, round(sum(s), 6) AS score FROM u GROUP BY doc QUALIFY row_number() OVER (ORDER BY sum(s) DESC, doc) <= 20""")
+SELECT doc AS p_partkey, round(sum(s), 6) AS score FROM u GROUP BY doc QUALIFY row_number() OVER (ORDER BY round(sum(s), 9) DESC, doc) <= 20""")
 def bmx_fielded_top(t: Tables) -> DataFrame:
     found = lexical.fielded_bmx(t.part, lexical.query_terms(_one(t, _FIELD_QUERY)), {"p_name": 3.0, "p_brand": 2.5, "p_type": 1.0}, doc="p_partkey", k=20)
     return found.select(F.col("doc").alias("p_partkey"), F.round("score", 6).alias("score"))

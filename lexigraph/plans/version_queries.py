@@ -21,12 +21,12 @@ def version_history(t: Tables) -> DataFrame:
     return versions.history(rows(t), ("symbol",), "created", "id").select("id", "symbol", "version")
 
 
-@query(f"""WITH {_V}, old AS (SELECT * FROM v WHERE created < TIMESTAMP '1995-01-01' AND id % 5 = 0), new AS (SELECT * FROM v WHERE created >= TIMESTAMP '1995-01-01'),
+@query(f"""WITH {_V}, old AS (SELECT * FROM v WHERE created < TIMESTAMP '1995-01-01'), new AS (SELECT * FROM v WHERE created >= TIMESTAMP '1995-01-01'),
 f AS (SELECT * FROM new WHERE file IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, file, text_hash, session ORDER BY created, id) = 1)
 SELECT id FROM old UNION ALL SELECT id FROM f WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.symbol = f.symbol AND o.file = f.file AND o.text_hash = f.text_hash AND o.session = f.session) UNION ALL SELECT id FROM new WHERE file IS NULL""")
 def version_dedup(t: Tables) -> DataFrame:
     v, at = rows(t), F.lit("1995-01-01").cast("timestamp_ntz")
-    old, new = v.where((F.col("created") < at) & (F.col("id") % 5 == 0)), v.where(F.col("created") >= at)
+    old, new = v.where(F.col("created") < at), v.where(F.col("created") >= at)
     return versions.insert_or_ignore(old, new, ("symbol", "file", "text_hash", "session"), [F.col("created"), F.col("id")]).select("id")
 
 

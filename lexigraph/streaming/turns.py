@@ -1,5 +1,5 @@
-"""The per-session turn machine: which tools a session has promoted and demoted. One step function serves the stream, where Spark
-keeps the state, and the batch, where a session's turns are folded in order."""
+"""The per-session turn machine: which tools a session has, and which each turn promotes and demotes. One step function serves the
+stream, where Spark keeps the state, and the batch, where a session's turns are folded in order."""
 
 from __future__ import annotations
 
@@ -9,38 +9,50 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MOST_DEMOTED, LOW_RANKS, BEHIND, RECENT = 3, 2, 3, 3
-STEPS = "session long, turn long, promoted string, demoted string"
+MOST_DEMOTED, LOW_RANKS, WITHIN, BEHIND, RECENT, PROXIED = 3, 2, 2, 3, 3, 2
+STEPS = "session long, turn long, promoted string, demoted string, active string"
 
 
 def fresh() -> dict:
-    return {"turn": 0, "used": [], "low": {}, "proxied": {}, "promoted": [], "demoted": []}
-
-
-def advance(state: dict, calls: list[str], proxies: list[str], ranks: dict[str, int], k: int) -> dict:
-    """The state after one turn. A tool reached by proxy in two of the last turns is promoted; one that ranks far behind twice running,
-    and wasn't used in the turn before, is demoted, three at most; a used tool is neither low nor demoted."""
-    turn = state["turn"] + 1
-    proxied = {t: [x for x in [*state["proxied"].get(t, []), *([turn] if t in proxies else [])] if x >= turn - RECENT] for t in {*state["proxied"], *proxies}}
-    promoted = sorted({*state["promoted"], *(t for t, x in proxied.items() if len(x) >= 2)})
-    used = sorted({*calls, *proxies})
-    low = {t: state["low"].get(t, 0) + 1 for t, r in ranks.items() if r >= k + BEHIND and t not in used}
-    wanted = [t for t in sorted(low, key=lambda t: (-low[t], t)) if low[t] >= LOW_RANKS and t not in state["used"]]
-    demoted = sorted([t for t in state["demoted"] if t not in used][:MOST_DEMOTED])
-    demoted = sorted({*demoted, *[t for t in wanted if t not in demoted][: MOST_DEMOTED - len(demoted)]})
-    return {"turn": turn, "used": used, "low": low, "proxied": {t: x for t, x in proxied.items() if x}, "promoted": [t for t in promoted if t not in demoted], "demoted": demoted}
+    return {"turn": 0, "active": [], "used": [], "low": {}, "proxied": {}, "promoted": [], "demoted": []}
+
+
+def advance(state: dict, calls: list[str], proxies: list[str], ranked: list[str], k: int) -> dict:
+    """The state after one turn: first the set of tools changes by the turn's ranking and what earlier turns called, then the turn's own
+    calls are noted. Promoted is what ranks within k - 2, and what was reached by proxy in two of the last three turns. From the second
+    turn on, an active tool that ranks k + 3 or later (from 0; unranked ones last) twice running goes, unless the turn before used it,
+    three a turn at most, in the order in which they came."""
+    turn, active = state["turn"] + 1, list(state["active"])
+    recent = {t: [x for x in xs if x >= turn - RECENT] for t, xs in state["proxied"].items()}
+    wanted = [*ranked[: max(1, k - WITHIN)], *(t for t, xs in recent.items() if len(xs) >= PROXIED)]
+    promoted = [t for t in dict.fromkeys(wanted) if t not in active]
+    active += promoted
+    rank, low = {t: i for i, t in enumerate(ranked)}, dict(state["low"])
+    if turn > 1:
+        for t in active:
+            low[t] = low.get(t, 0) + 1 if rank.get(t, len(ranked)) >= k + BEHIND else 0
+        demoted = [t for t in active if low[t] >= LOW_RANKS and t not in state["used"]][:MOST_DEMOTED]
+    else:
+        demoted = []
+    active = [t for t in active if t not in demoted]
+    for t in dict.fromkeys(proxies):
+        recent.setdefault(t, []).append(turn)
+    return {
+        "turn": turn, "active": active, "used": sorted({*calls, *proxies}), "low": {t: n for t, n in low.items() if n and t not in demoted}, "proxied": {t: xs for t, xs in recent.items() if xs}, "promoted": promoted, "demoted": demoted,
+        "shown": sorted(active, key=lambda t: (rank.get(t, len(ranked)), t)),
+    }
 
 
 def _steps(session: int, rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
     out = []
     for row in rows.sort_values("turn").itertuples(index=False):
-        state = advance(state, list(row.calls), list(row.proxies), {x: i for i, x in enumerate(row.ranked, 1)}, int(row.k))
-        out.append((session, row.turn, ",".join(state["promoted"]), ",".join(state["demoted"])))
-    return pd.DataFrame(out, columns=["session", "turn", "promoted", "demoted"]), state
+        state = advance(state, list(row.calls), list(row.proxies), list(row.ranked), int(row.k))
+        out.append((session, row.turn, ",".join(state["promoted"]), ",".join(state["demoted"]), ",".join(state["shown"])))
+    return pd.DataFrame(out, columns=["session", "turn", "promoted", "demoted", "active"]), state
 
 
 def turns_batch(events: DataFrame) -> DataFrame:
-    """(session, turn, promoted, demoted) of every turn. events: session, turn, calls, proxies, ranked (all tools, best first), k."""
+    """(session, turn, promoted, demoted, active) of every turn, active by rank. events: session, turn, calls, proxies, ranked (all tools, best first), k."""
     return events.groupBy("session").applyInPandas(lambda key, rows: _steps(int(key[0]), rows, fresh())[0], STEPS)
 
 

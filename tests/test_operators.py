@@ -133,13 +133,13 @@ def test_event_log(spark, tmp_path):
 
 def test_turns_stream_and_batch(spark, tmp_path):
     tools = ["a", "b", "c", "d", "e", "f"]
-    rows = [(s, t, [tools[(s + t) % 3]], ["e"] if t % 2 else [], tools, 2) for s in (1, 2) for t in (1, 2, 3, 4, 5)]
+    rows = [(s, t, [tools[(s + t) % 3]], ["e"] if t % 2 else [], tools if t < 6 else tools[::-1], 2) for s in (1, 2) for t in range(1, 12)]
     df = spark.createDataFrame(rows, "session long, turn long, calls array<string>, proxies array<string>, ranked array<string>, k int")
     batch = sorted(map(tuple, turns.turns_batch(df).collect()))
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = turns.turns_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), idle=None)
     assert sorted(map(tuple, metrics.run_once(stream).collect())) == batch
-    assert any(p for _, _, p, _ in batch) and any(d for *_, d in batch)
+    assert any(p for _, _, p, *_ in batch) and any(d for _, _, _, d, _ in batch) and all(a for *_, a in batch)
 
 
 def test_polling():
@@ -194,3 +194,55 @@ def test_lines(spark):
     got = [(r.doc, r.line, r.text) for r in scan.text_lines(df).orderBy("doc", "line").collect()]
     assert got == [(1, 1, "a\r"), (1, 2, "b"), (2, 1, ""), (4, 1, "x"), (4, 2, "")]
     assert spark.range(1).select(text.unix_lines(F.lit("a\r\nb\rc"))).first()[0] == "a\nb\nc"
+
+
+def test_turn_rules():
+    """The turn machine against the rules written out one by one, on random sessions."""
+    r = random.Random(11)
+    tools = list("abcdefghijkl")
+    for _ in range(60):
+        k, state = r.randrange(1, 6), turns.fresh()
+        active, low, proxied, before = [], {}, [], set()
+        for turn in range(1, 25):
+            ranked = r.sample(tools, r.randrange(3, 12))
+            calls, proxies = r.sample(tools, r.randrange(3)), r.sample(tools[:4], r.randrange(3))
+            state = turns.advance(state, calls, proxies, ranked, k)
+            new = [t for t in ranked[: max(1, k - 2)] if t not in active]
+            for t in tools:
+                if t not in active + new and sum(p == t and n >= turn - 3 for n, p in proxied) >= 2:
+                    new.append(t)
+            assert sorted(state["promoted"]) == sorted(new)
+            active += state["promoted"]
+            gone = []
+            for t in active if turn > 1 else []:
+                place = ranked.index(t) if t in ranked else len(ranked)
+                low[t] = low.get(t, 0) + 1 if place >= k + 3 else 0
+                if low[t] > 1 and t not in before and len(gone) < 3:
+                    gone.append(t)
+            assert state["demoted"] == gone
+            for t in gone:
+                active.remove(t)
+                del low[t]
+            assert sorted(state["shown"]) == sorted(active)
+            proxied += [(turn, p) for p in proxies]
+            before = {*calls, *proxies}
+
+
+def test_row_and_json_functions(spark):
+    from lexigraph.functions import documents as d
+
+    rows = [('{"b": [1, {"description": "x", "z": "s"}], "a": "\u00e9", "description": "top"}',), ("not json",), (None,), ("[]",), ('"t"',)]
+    c = F.col("j")
+    got = spark.createDataFrame(rows, "j string").select(d.canonical(c).alias("c"), d.without_descriptions(c).alias("w"), d.string_values(c).alias("s"), d.parameter_names(c).alias("p"), d.token_estimate(F.coalesce(c, F.lit(""))).alias("t")).collect()
+    assert got[0].c == '{"a":"é","b":[1,{"description":"x","z":"s"}],"description":"top"}' and got[0].w == '{"b":[1,{"z":"s"}],"a":"é"}' and sorted(got[0].s) == ["s", "top", "x", "é"] and got[0].p == []
+    assert [x.c for x in got[1:]] == [None, None, "[]", '"t"'] and [x.t for x in got[1:4]] == [2, 1, 1]
+    shown = spark.createDataFrame([("a\tb\n\r\x01\x7f é",)], "t string").select(d.escaped(F.col("t"))).first()[0]
+    assert shown == "a\\tb\\n\\r\\x01\\x7f é"
+
+
+def test_payloads(spark):
+    from lexigraph.operators import store
+
+    text = "one 1, 2 ack:3\nbody a\nmore\n\ntwo.x 7\nbody b\nno header here\n"
+    got = store.payload_groups(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "nothing 1")], "id long, payload string"), "id", "payload").collect()
+    assert [(r.id, r.symbol, r.indices, r.ack, r.body) for r in got] == [(1, "one", [1, 2], [3], "body a\nmore"), (1, "two.x", [7], [], "body b\nno header here")]
