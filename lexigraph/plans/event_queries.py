@@ -147,7 +147,7 @@ def _rankings(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query("""WITH a AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE contains(text, 'the')),
 b AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r FROM documents WHERE contains(text, 'an')),
-f AS (SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.doc_id, b.doc_id) AS doc_id, 6e-1 / (10 + coalesce(a.r, (SELECT max(r) + 1 FROM a x WHERE x.lang = b.lang))) + 4e-1 / (10 + coalesce(b.r, (SELECT max(r) + 1 FROM b x WHERE x.lang = a.lang))) AS score FROM a FULL JOIN b ON a.lang = b.lang AND a.doc_id = b.doc_id)
+f AS (SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.doc_id, b.doc_id) AS doc_id, 6e-1 / (10 + coalesce(a.r, (SELECT coalesce(max(r), 0) + 1 FROM a x WHERE x.lang = b.lang))) + 4e-1 / (10 + coalesce(b.r, (SELECT coalesce(max(r), 0) + 1 FROM b x WHERE x.lang = a.lang))) AS score FROM a FULL JOIN b ON a.lang = b.lang AND a.doc_id = b.doc_id)
 SELECT lang, doc_id, round(score, 8) AS score, (row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, doc_id))::INT AS rank FROM f""")
 def rrf_fusion(t: Tables) -> DataFrame:
     a, b = _rankings(t)
