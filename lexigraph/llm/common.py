@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,11 +70,24 @@ def without(docs: DataFrame, gone: DataFrame, file: str, line: str) -> DataFrame
 
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null counts as empty."""
-    import pyarrow as pa
-
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`kernel`, after which the worker gives its free memory back to the system: workers live on from one stage to the next, beside
+    those of that stage and the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def code_points(data: bytes) -> int:
     return len(data) if data.isascii() else len(data.decode("utf-8", "replace"))
 

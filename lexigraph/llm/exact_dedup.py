@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, code_points, materialise, text_bytes, told_apart, without
+from .common import SPACE, code_points, materialise, text_bytes, tidy, told_apart, without
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525123)
@@ -89,10 +89,12 @@ def fingerprints(docs: DataFrame, *, huge: int = 16 << 20, primes: tuple[int, in
             data = bare(raw)
             yield (*row, code_points(raw), hashlib.sha256(data).hexdigest()), data
 
+    @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _batch([(*row, *polynomial(data, primes)) for row, data in rows_of(batch)], FINGERPRINTS)
 
+    @tidy
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -103,6 +105,7 @@ def fingerprints(docs: DataFrame, *, huge: int = 16 << 20, primes: tuple[int, in
                 for k in range(0, max(len(data), 1), step):
                     yield _batch([(*row, f"{task}:{at}", k // step, data[k : k + step])], SLICES)
 
+    @tidy
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -177,6 +180,7 @@ def collided(docs: DataFrame, groups: DataFrame, *, most_bits: int = MOST_BITS,
         if out:
             yield _batch(out, COMPARED)
 
+    @tidy
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = filter_.value if filter_ is not None else None
         seen: OrderedDict = OrderedDict()
@@ -207,6 +211,7 @@ def collided(docs: DataFrame, groups: DataFrame, *, most_bits: int = MOST_BITS,
 
         yield from batched(rows())
 
+    @tidy
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks come sorted by fingerprint and place."""
         key, first, ok = None, b"", True

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise
+from .common import id_and_text, materialise, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -84,7 +84,7 @@ class Pieces:
         if self.unigram or not a:
             return own if self.unigram or self.merged(b) == [b] else None
         if (good := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 1 << 16:  # a worker keeps the model for its whole life
                 self.pairs.clear()
             good = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return own if good else None
@@ -241,25 +241,38 @@ def load(path: str) -> Pieces:
 IDS = "doc_id long, ids array<int>"
 
 
-def _ids_array(rows: list[list[int]]) -> pa.Array:
+def _ids_array(rows: list) -> pa.Array:
     lengths = np.cumsum([0, *map(len, rows)])
-    flat = np.concatenate([np.array(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))
 
 
+def _plain(library, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[list[int]]]]:
+    """(ids of documents, their pieces), 256 documents at a time."""
+    for i in range(0, batch.num_rows, 256):
+        part = batch.slice(i, 256)
+        yield part.column(0), library.encode([t or "" for t in part.column(1).to_pylist()], num_threads=1)
+
+
 def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = 32_768) -> DataFrame:
     """doc_id, ids for each row. The model, half a megabyte, is read on the driver and broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
-    docs = id_and_text(docs)
+    small, scanned = _encoded(docs, shared, chunk)
 
+    @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = shared.value.library
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows = library.encode([t or "" for t in part.column(1).to_pylist()], num_threads=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), _ids_array(rows)], ["doc_id", "ids"])
+            for doc_ids, rows in _plain(shared.value.library, batch):
+                yield pa.RecordBatch.from_arrays([doc_ids, _ids_array(rows)], ["doc_id", "ids"])
+
+    return small.mapInArrow(whole, IDS).unionByName(scanned)
+
+
+def _encoded(docs: DataFrame, shared, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, text) that the library encodes whole, and doc_id, ids of those that are scanned."""
+    docs = id_and_text(docs)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, doc_id, k, first, last, end, text): a chunk with a piece's length of what is around it."""
         from pyspark import TaskContext
@@ -273,6 +286,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = 32_768) -> DataF
                     row = (f"{task}:{at}", doc_id, k, a - left, b - left, b == len(text), text[left : b + more])
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _CHUNK, strict=True)], _CHUNK_NAMES)
 
+    @tidy
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -287,6 +301,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = 32_768) -> DataF
         pairs = [pickle.dumps(x) for x in zip(states[:-1], states[1:], strict=True)]
         return pd.DataFrame({"row": group["row"].to_numpy(), "k": group["k"].to_numpy(), "states": pairs})
 
+    @tidy
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -294,12 +309,12 @@ def encode(docs: DataFrame, *, model: str = MODEL, chunk: int = 32_768) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], _ids_array(ids)], ["row", "doc_id", "k", "ids"])
 
     length = F.char_length("text")
-    small = docs.where(length.isNull() | (length <= chunk)).mapInArrow(whole, IDS)
+    small = docs.where(length.isNull() | (length <= chunk))
     chunks = materialise(docs.where(length > chunk).mapInArrow(cut, _CHUNK_SCHEMA).repartition("row", "k"))
     states = chunks.mapInArrow(matrices, "row string, k long, matrix binary").groupBy("row").applyInPandas(scanned, "row string, k long, states binary")
     parts = chunks.join(states, ["row", "k"]).select(*_CHUNK_NAMES, "states").mapInArrow(trace, "row string, doc_id long, k long, ids array<int>")
     joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.sort_array(F.collect_list(F.struct("k", "ids"))).getField("ids")).alias("ids"))
-    return small.unionByName(joined.select("doc_id", "ids"))
+    return small, joined.select("doc_id", "ids")
 
 
 _CHUNK = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
@@ -323,15 +338,27 @@ def round_trip(docs: DataFrame, *, model: str = MODEL, chunk: int = 32_768) -> D
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256 (of the text that the ids decode
     to), ids."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    small, scanned = _encoded(docs, shared, chunk)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def back(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
         library = shared.value.library
+        texts = [library.decode(x.tolist()) for x in ids]
+        digests = [[hashlib.sha256(d).hexdigest() for d in data] for data in ((x.astype("<i4").tobytes() for x in ids), (t.encode() for t in texts))]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, digests), _ids_array(ids)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+
+    # Encoding and decoding in one operator: two would be two workers a task.
+    @tidy
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [np.asarray(x.values, np.int32) for x in part.column(1)]
-                texts = [library.decode(x.tolist()) for x in ids]
-                digests = [[hashlib.sha256(d).hexdigest() for d in data] for data in ((x.astype("<i4").tobytes() for x in ids), (t.encode() for t in texts))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, digests), part.column(1)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-
-    return encode(docs, model=model, chunk=chunk).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+            for doc_ids, rows in _plain(shared.value.library, batch):
+                yield back(doc_ids, [np.array(x, np.int32) for x in rows])
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 16):
+                part = batch.slice(i, 16)
+                yield back(part.column(0), [np.asarray(x.values, np.int32) for x in part.column(1)])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
+    return small.mapInArrow(whole, schema).unionByName(scanned.mapInArrow(run, schema))

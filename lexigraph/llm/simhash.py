@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, text_bytes, told_apart, without
+from .common import id_and_text, materialise, text_bytes, tidy, told_apart, without
 
 SEED = 42
 BITS = 64
@@ -72,6 +72,7 @@ def simhash(data: bytes, words: int = 4) -> int:
 def fingerprints(docs: DataFrame, *, words: int = 4) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((simhash(x, words) for x in text_bytes(batch.column(1))), np.uint64, batch.num_rows)
@@ -162,6 +163,7 @@ def links(prints: DataFrame, *, distance: int = 4, group_rows: int = 512, room:
     first = list(range(BITS - 1, BITS - 1 - k, -1))
     rest = list(range(BITS - k))
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -170,6 +172,7 @@ def links(prints: DataFrame, *, distance: int = 4, group_rows: int = 512, room:
                 group, f, _, left = spread(part, np.zeros(len(part), np.uint64), np.full(len(part), radius), first)
                 yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(f.view(np.int64)), pa.array(left.astype(np.int8))], ["g", "fp", "flips_left"])
 
+    @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group."""
         forest, group, held = Forest(), None, []
@@ -447,6 +450,7 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
     k = int(min(16, max(2, np.ceil(np.log2(max(1, n / group_rows))))))
     first, rest = list(range(bits - 1, bits - 1 - k, -1)), list(range(bits - k))
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
@@ -461,6 +465,7 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
                     g, r = np.concatenate(groups).astype(np.int64), pa.array(np.concatenate(rows).astype(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array((t << k | g).astype(np.int32)), part.column(0).take(r), part.column(1).take(r)], ["g", "node", "wide"])
 
+    @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, group, held = Forest(), None, []
 
@@ -484,7 +489,6 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
                         group = int(g[part[0]])
                     held.append((nodes[part], wide[part]))
         close()
-        pa.default_memory_pool().release_unused()  # the worker lives on
         items = np.array([(u, forest.root(u)) for u in list(forest.up)], np.int64).reshape(-1, 2)
         for i in range(0, len(items), 10000):
             part = items[i : i + 10000]
@@ -506,6 +510,7 @@ def _similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall
     width = max(tables, -(-judged // bits))
     most = round(turned(similarity - slack) * bits * width)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = [wide_simhash(x, words, bits, width) for x in text_bytes(batch.column(3))]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise
+from .common import id_and_text, materialise, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
@@ -67,6 +67,7 @@ def is_held_out(doc_id: Column) -> Column:
 def term_counts(labelled: DataFrame, room: int = 150_000) -> DataFrame:
     """(term, toxic, clean): in how many labelled rows each term is. Each task sums before it sends, in a table of `room` terms."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -255,6 +256,7 @@ class Model:
 def observed(labelled: DataFrame, vocabulary: list[str], lexicon: int) -> DataFrame:
     """(toxic, n, counts, votes): what the fit needs of a row, taken where the row lies; arrays as bytes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters, words = Voters(vocabulary, lexicon), Vocabulary(vocabulary)
         for batch in batches:
@@ -308,6 +310,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
@@ -328,6 +331,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = train(docs, labels, **options)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
