@@ -252,30 +252,38 @@ def turned(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def tables_for(n: int, similarity: float, distance: int, recall: float) -> tuple[int, int]:
-    """(bits of a table, tables). Bits grow with the number of documents, so that chance meetings of a document stay few; tables
-    then suffice for `recall` of the pairs of this similarity to be within `distance` bits in one of them."""
+def tables_for(n: int, similarity: float, distance: int, recall: float, group_rows: int = 1 << 18) -> tuple[int, int, int]:
+    """(bits of a table, its first bits that must be equal, tables). Bits grow with the number of documents, so that chance meetings of
+    a document stay few, and the first bits so that a group of documents that share them has about `group_rows`. Tables then suffice
+    for `recall` of the pairs of this similarity to share the first bits and be within `distance` bits in one of them: a few tables
+    more, but a document travels once a table, whatever its number, not once for each way to flip the first bits."""
     bits = int(min(64, max(24, np.ceil(np.log2(max(2, n))) + 14)))
+    first = int(min(16, max(2, np.ceil(np.log2(max(1, n / group_rows))))))
     p, hit, term = turned(similarity), 0.0, (1 - turned(similarity)) ** bits
     for k in range(distance + 1):
         hit += term
-        term *= (bits - k) / (k + 1) * p / (1 - p)
-    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))
+        term *= (bits - first - k) / (k + 1) * p / (1 - p)
+    return bits, first, int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))
 
 
-def wide_simhash(data: bytes, words: int, bits: int, tables: int) -> bytes:
-    """`tables` fingerprints of `bits` bits each, from as many mixtures of the shingle hashes."""
+def wide_simhash(data: bytes, words: int, size: int) -> bytes:
+    """`size` fingerprints of 64 bits, from as many mixtures of the shingle hashes: one row of bits, of which tables take theirs."""
     hashes, out = shingle_hashes(data, words), []
     with np.errstate(over="ignore"):
-        for t in range(tables):
+        for t in range(size):
             x = (hashes + np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            out.append(majority(x ^ (x >> np.uint64(29))) >> (BITS - bits))
-    return np.array(out, _word(bits)).tobytes()
+            out.append(majority(x ^ (x >> np.uint64(29))))
+    return np.array(out, "<u8").tobytes()
 
 
-def _word(bits: int) -> str:
-    return "<u4" if bits <= 32 else "<u8"
+def bits_at(wide: np.ndarray, start: int, bits: int) -> np.ndarray:
+    """The `bits` bits from `start` on of each row of 64-bit words."""
+    word, at = divmod(start, BITS)
+    out = wide[:, word] << np.uint64(at)
+    if at + bits > BITS:
+        out = out | wide[:, word + 1] >> np.uint64(BITS - at)
+    return out >> np.uint64(BITS - bits)
 
 
 class Crowds:
@@ -443,27 +451,23 @@ def meet_wide(crowds: Crowds, at: np.ndarray, masks: np.ndarray, left: np.ndarra
         crowds.meet_pairs(owner[p[here]], owner[q[here]])
 
 
-def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: int, distance: int = 4, n: int, group_rows: int = 1 << 15, room: int = 1 << 18) -> DataFrame:
-    """(u, v): links between nodes whose wide fingerprints are within `distance` bits in one table and `most` in all. prints:
-    (node, wide), distinct; of the `width` fingerprints in `wide` the first `tables` are hashed, all are compared."""
+def wide_links(prints: DataFrame, *, bits: int, first: int, tables: int, size: int, judged: int, most: int, distance: int = 4, room: int = 1 << 18) -> DataFrame:
+    """(u, v): links between nodes whose wide fingerprints share the first bits of one table, are within `distance` bits in it, and
+    within `most` in the first `judged` words. prints: (node, wide), distinct; wide has `size` words. A row a node and table travels."""
     radius = distance // 2
-    k = int(min(16, max(2, np.ceil(np.log2(max(1, n / group_rows))))))
-    first, rest = list(range(bits - 1, bits - 1 - k, -1)), list(range(bits - k))
+    rest = list(range(bits - first))
 
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), _word(bits)).reshape(-1, width).astype(np.uint64)
-                at = np.arange(len(wide), dtype=np.uint64)
+                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, size)
+                shown = pa.array([row.tobytes() for row in wide[:, :judged]], pa.binary())
                 for t in range(tables):
-                    groups, rows = [], []
-                    for table in flips(first, radius):
-                        groups.append(((wide[:, t][:, None] ^ table[None, :]) >> np.uint64(bits - k)).ravel())
-                        rows.append(np.repeat(at, len(table)))
-                    g, r = np.concatenate(groups).astype(np.int64), pa.array(np.concatenate(rows).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array((t << k | g).astype(np.int32)), part.column(0).take(r), part.column(1).take(r)], ["g", "node", "wide"])
+                    fp = bits_at(wide, t * bits, bits)
+                    group = (fp >> np.uint64(bits - first)).astype(np.int64) | t << first
+                    yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), part.column(0), pa.array(fp.view(np.int64)), shown], ["g", "node", "fp", "wide"])
 
     @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,30 +475,29 @@ def wide_links(prints: DataFrame, *, bits: int, tables: int, width: int, most: i
 
         def close() -> None:
             if held:
-                nodes, wide = (np.concatenate(x) for x in zip(*held, strict=True))
+                nodes, fps, wide = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                crowds = Crowds(wide[:, group >> k].astype(np.uint64), wide, nodes, most, forest)
-                masks = (crowds.values >> np.uint64(bits - k) ^ np.uint64(group & (1 << k) - 1)) << np.uint64(bits - k)
-                crowds.meet_self(np.flatnonzero(masks == 0))
+                crowds = Crowds(fps, wide, nodes, most, forest)
                 at = np.arange(len(crowds.values))
-                meet_wide(crowds, at, masks, radius - np.bitwise_count(masks).astype(np.int64), rest, radius, room)
+                crowds.meet_self(at)
+                meet_wide(crowds, at, np.zeros(len(at), np.uint64), np.full(len(at), radius), rest, radius, room)
 
         for batch in batches:
-            g, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), _word(bits)).reshape(-1, width)
+            g, nodes, fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+            wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, judged)
             for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
                 if len(part):
                     if group != int(g[part[0]]):
                         close()
                         group = int(g[part[0]])
-                    held.append((nodes[part], wide[part]))
+                    held.append((nodes[part], fps[part].view(np.uint64), wide[part]))
         close()
         items = np.array([(u, forest.root(u)) for u in list(forest.up)], np.int64).reshape(-1, 2)
         for i in range(0, len(items), 10000):
             part = items[i : i + 10000]
             yield pa.RecordBatch.from_arrays([pa.array(part.max(1)), pa.array(part.min(1))], ["u", "v"])
 
-    rows = prints.select("node", "wide").mapInArrow(emit, "g int, node long, wide binary")
+    rows = prints.select("node", "wide").mapInArrow(emit, "g int, node long, fp long, wide binary")
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(join, "u long, v long")
 
 
@@ -503,17 +506,18 @@ def _similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall
     estimated Jaccard similarity of shingle sets of `similarity` or more, the first row, (without id, doc_id, row_file, row_line).
 
     At 0.8, two 64-bit fingerprints differ in some ten bits, too many for balls. So there are several shorter fingerprints, as
-    `tables_for` says; documents meet by ball hashing in any, and a pair is judged by all bits together, at
-    least `judged`. `slack` is what the estimate may lack."""
+    `tables_for` says; documents meet by ball hashing in any, and a pair is judged by the first `judged` bits of all, in whole
+    words. `slack` is what the estimate may lack."""
     n = docs.count()
-    bits, tables = tables_for(n, similarity, 4, recall)
-    width = max(tables, -(-judged // bits))
-    most = round(turned(similarity - slack) * bits * width)
+    bits, first, tables = tables_for(n, similarity, 4, recall)
+    seen = -(-judged // BITS)
+    size = max(seen, -(-tables * bits // BITS))
+    most = round(turned(similarity - slack) * BITS * seen)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = [wide_simhash(x, words, bits, width) for x in text_bytes(batch.column(3))]
+            wide = [wide_simhash(x, words, size) for x in text_bytes(batch.column(3))]
             node = np.array([xxhash.xxh64_intdigest(w, SEED) for w in wide], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), pa.array(wide, pa.binary())], ["doc_id", "row_file", "row_line", "node", "wide"])
 
@@ -521,7 +525,7 @@ def _similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall
     distinct = prints.groupBy("node").agg(F.first("wide").alias("wide"))
     order = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "row_file", "row_line")
     least = materialise(prints.groupBy("node").agg(F.min(order).alias("least"), F.count("*").alias("n")))
-    tied = components(wide_links(distinct, bits=bits, tables=tables, width=width, most=most, n=n)).withColumnRenamed("node", "tied")
+    tied = components(wide_links(distinct, bits=bits, first=first, tables=tables, size=size, judged=seen, most=most)).withColumnRenamed("node", "tied")
     rooted = materialise(least.join(tied, F.col("node") == F.col("tied"), "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")))
     # Written, so that joins on a root or a fingerprint that a third of all have are of plain exchanges, which Spark splits.
     groups = materialise(rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("size")).where("size > 1"))

@@ -7,6 +7,7 @@ import collections
 import gzip
 import hashlib
 import lzma
+import math
 import random
 import re
 import textwrap
@@ -217,6 +218,31 @@ def test_similar_documents_in_crowds():
     assert len({alone.root(i) for i in range(n)}) == n - 30
 
 
+def test_similar_documents_travel_once_a_table():
+    """However many documents there are, a document is one row a table, and tables make up for the pairs that this lets go."""
+    for n in (40_000, 250_000, 2_500_000, 12_500_000):
+        bits, first, tables = simhash.tables_for(n, 0.8, 4, 0.99)
+        p = simhash.turned(0.8)
+        hit = sum(math.comb(bits - first, k) * p**k * (1 - p) ** (bits - k) for k in range(5))
+        assert (1 - hit) ** tables <= 0.01 < (1 - hit) ** (tables - 1)
+        assert tables <= 25 and n / 2**first <= 1 << 18
+    wide = np.random.default_rng(2).integers(0, 2**64, (50, 3), dtype=np.uint64)
+    rows = ["".join(f"{x:064b}" for x in row.tolist()) for row in wide]
+    for start, bits in ((0, 36), (36, 36), (64, 64), (130, 38), (100, 30)):
+        assert simhash.bits_at(wide, start, bits).tolist() == [int(r[start : start + bits], 2) for r in rows]
+
+
+def test_similar_links_by_words(spark):
+    """Tables take their bits from words that they share."""
+    wide = np.random.default_rng(3).integers(0, 2**64, (300, 8), dtype=np.uint64)
+    wide[1::2] = wide[::2]
+    wide[1::2, 1] ^= np.uint64(3)
+    prints = spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in enumerate(wide)], "node long, wide binary")
+    links = simhash.wide_links(prints, bits=36, first=7, tables=14, size=8, judged=5, most=40)
+    roots = {r.node: r.root for r in simhash.components(links).collect()}
+    assert roots == {i: i - 1 for i in range(1, 300, 2)}
+
+
 def test_sketches(docs):
     order = sorted(TEXTS, key=lambda x: (x[0] is None, -(x[0] or 0)))
     got = sketches.edited_prints(docs).collect()
