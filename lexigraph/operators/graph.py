@@ -108,15 +108,83 @@ def pagerank(links: DataFrame, nodes: DataFrame, *, damping: float = 0.85, round
     return ranks.select("node", "rank")
 
 
-def innermost(children: DataFrame, owners: DataFrame, *, width: int = 64) -> DataFrame:
+def innermost(children: DataFrame, owners: DataFrame) -> DataFrame:
     """(child, owner): of the owners (id, file, line, end_line) that hold a child's lines in the same file, the shortest, then first;
-    a symbol isn't its own. Owners are dealt to buckets of lines, so a join by equality finds them."""
-    o = owners.select(F.col("id").alias("owner"), F.col("file").alias("o_file"), F.col("line").alias("o_line"), F.col("end_line").alias("o_end"))
-    o = o.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("o_line") / width), F.floor(F.col("o_end") / width))))
-    c = children.withColumn("c_bucket", F.floor(F.col("line") / width))
-    joined = c.join(o, (F.col("file") == F.col("o_file")) & (F.col("c_bucket") == F.col("bucket")) & (F.col("o_line") <= F.col("line")) & (F.col("o_end") >= F.col("end_line")) & (F.col("owner") != F.col("id")))
-    best = joined.groupBy(F.col("id").alias("child")).agg(F.min(F.struct((F.col("o_end") - F.col("o_line")).alias("span"), "o_line", "owner")).alias("best"))
-    return best.select("child", F.col("best.owner").alias("owner"))
+    a symbol isn't its own. Spans that are equal are asked for once, with the two smallest ids of their owners; each file's spans are
+    then swept by their first lines, in one task."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    span = ["file", "line", "end_line"]
+    place = Window.partitionBy(*span).orderBy("id")
+    held = owners.select("id", *span).where("id is not null").dropna(subset=span).distinct()
+    held = held.withColumn("k", F.row_number().over(place)).where("k <= 2").select(*span, F.col("id").cast("long"), F.lit(0).alias("asks"))
+    asked = children.select(*span).dropna().distinct().select(*span, F.lit(None).cast("long").alias("id"), F.lit(1).alias("asks"))
+    kind = children.schema["file"].dataType.simpleString()
+
+    def answers(rows: list[tuple]) -> list[tuple]:
+        """Spans with their best owner and the best of another id, by sums over a tree of last lines (largest first)."""
+        ends = {e: i + 1 for i, e in enumerate(sorted({r[2] for r in rows}, reverse=True))}
+        tree: list[tuple | None] = [None] * (len(ends) + 1)
+        out = []
+
+        def better(a: tuple | None, new: tuple) -> tuple:
+            """Two best of different ids."""
+            if a is None:
+                return new, None
+            first, second = a
+            if new == first:
+                return a
+            if new < first:
+                return new, first if first[2] != new[2] else second
+            return (first, new) if new[2] != first[2] and (second is None or new < second) else a
+
+        for _, line, end, own, asks in sorted(rows, key=lambda r: (r[1], r[4])):
+            i = ends[end]
+            if asks:
+                found = None
+                while i:
+                    for x in tree[i] or ():
+                        if x is not None:
+                            found = better(found, x)
+                    i &= i - 1
+                out.append((line, end, found))
+                continue
+            while i < len(tree):
+                now = better(tree[i], (end - line, line, own))
+                if now is not tree[i]:
+                    tree[i] = now
+                i += i & -i
+        return out
+
+    def run(batches):
+        file, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            done = [(file, line, end, *(f[0] if f else (None,) * 3), *((f[1] if f else None) or (None,) * 3)) for line, end, f in answers(rows)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != file and rows:
+                    yield close()
+                    rows = []
+                file = row[0]
+                rows.append(row)
+        if rows:
+            yield close()
+
+    names = ["a_file", "a_line", "a_end", "span", "o_line", "owner", "span2", "o_line2", "owner2"]
+    kinds = [to_arrow_type(children.schema["file"].dataType), *[pa.int64()] * 8]
+    n = int(children.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = lambda df: df.select("file", F.col("line").cast("long"), F.col("end_line").cast("long"), "id", "asks")
+    spans = long(held).unionByName(long(asked)).repartition(n, "file").sortWithinPartitions("file")
+    found = spans.mapInArrow(run, f"a_file {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+    joined = children.where("id is not null").join(found, (F.col("file") == F.col("a_file")) & (F.col("line") == F.col("a_line")) & (F.col("end_line") == F.col("a_end")))
+    own = F.col("owner") == F.col("id")
+    best = F.when(own, F.struct(F.col("span2").alias("span"), F.col("o_line2").alias("o_line"), F.col("owner2").alias("owner"))).otherwise(F.struct("span", "o_line", "owner"))
+    rows = joined.select(F.col("id").alias("child"), best.alias("best")).where("best.owner is not null")
+    return rows.groupBy("child").agg(F.min("best").alias("best")).select("child", F.col("best.owner").alias("owner"))
 
 
 def nearest(rows: DataFrame, line: int, by: tuple[str, ...]) -> DataFrame:

@@ -255,3 +255,18 @@ def test_sizes_up_to_a_unit(spark):
     assert got == [
         ("1023 B", "1023 B"), ("1.00 KB", "1.00 KB"), ("1.00 MB", "1.00 MB"), ("1024.00 MB", "1024.00 MB"), ("1024.00 MB", "1.00 GB"), ("5242880.00 MB", "5.00 TB"), ("0 B", "0 B"), ("-5 B", "-5 B"),
     ]
+
+
+def test_innermost_by_a_sweep(spark):
+    """Against all pairs: equal spans, one id on several spans, nulls; and no row for each bucket or pair."""
+    r = random.Random(5)
+    rows = [(r.randrange(150), r.choice(("a", "b", None)), a := r.randrange(40), a + r.randrange(-1, 30)) for _ in range(300)] + [(None, "a", 1, 2), (400, "a", None, 3), (401, "a", 0, 10**9)]
+    df = spark.createDataFrame(rows, "id long, file string, line long, end_line long")
+    got = {x.child: x.owner for x in graph.innermost(df, df).collect()}
+    want = {}
+    for i, f, a, b in rows:
+        fit = [(y - x, x, j) for j, g, x, y in rows if None not in (i, j, a, x) and f is not None and f == g and x <= a and y >= b and i != j]
+        if fit:
+            want[i] = min([min(fit), *([want[i]] if i in want else [])])
+    assert got == {i: o[2] for i, o in want.items()}
+    assert "Generate" not in graph.innermost(df, df)._jdf.queryExecution().executedPlan().toString()
