@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import ascii_tokens, identifier_words, rational_sigmoid, sigmoid, unicode_tokens
+from .inside import grouped, scores_of_units, words
 from .windows import within_budget
 
 Tokenizer = Callable[[Column], Column]
@@ -173,16 +176,22 @@ def line_query(defs: DataFrame, degrees: DataFrame, by: tuple[str, ...], *, scan
 
 
 def line_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, score): each document an index of its lines, queried with all its own terms; the best line scores 1, a line
-    without words 0. Statistics are joined by document and term, scores by document and line."""
-    rows = docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    by = ("doc_id",)
-    tokens = tokenised(rows.where(F.trim("text") != ""), "line", "text", unicode_tokens, by)
-    queries = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("qtf"))
-    whole = Window.partitionBy("doc_id")
-    queries = queries.withColumn("query", F.lit(0)).withColumn("unique", F.count("*").over(whole))
-    found = bmx_plus(tokens, queries, k=None, by=by).select("doc_id", F.col("doc").alias("line"), "score")
-    return rows.select("doc_id", "line").join(found, ["doc_id", "line"], "left").select("doc_id", "line", F.coalesce("score", F.lit(0.0)).alias("score"))
+    """(doc_id, line, score): each document an index of its lines, queried with all its own terms (`bmx_plus`); the best line scores 1,
+    a line without words 0. The texts travel, to bring those of one id together; postings stay in the task."""
+    kind = docs.schema[doc].dataType
+
+    def run(batches):
+        for held in grouped(batches):
+            lines = [[line for x in texts for line in x.split("\n")] for _, texts in held]
+            places = [[k + 1 for x in texts for k in range(x.count("\n") + 1)] for _, texts in held]
+            units = [[] if key is None else [(k, words(x)) for k, x in zip(at, own, strict=True) if x.strip(" ")] for (key, _), at, own in zip(held, places, lines, strict=True)]
+            found = scores_of_units(units)
+            ids = [key for (key, _), at in zip(held, places, strict=True) for _ in at]
+            scores = [own.get(k, 0.0) for own, at in zip(found, places, strict=True) for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)), pa.array([k for at in places for k in at], pa.int32()), pa.array(scores, pa.float64())], ["doc_id", "line", "score"])
+
+    rows = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, f"doc_id {kind.simpleString()}, line int, score double")
 
 
 def knee(scored: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
