@@ -62,22 +62,93 @@ def import_groups(refs: DataFrame) -> DataFrame:
     return found.select("file", F.col("first.name").alias("module"), F.transform("names", lambda x: x["name"]).alias("names"), F.col("first.line").alias("line"), "end_line")
 
 
-def contained(symbols: DataFrame, dotted: DataFrame, *, width: int = 64) -> DataFrame:
+def _within(owners: DataFrame, inner: DataFrame, pairs: DataFrame, final: bool) -> DataFrame:
+    """(out, id), and file, line, end_line unless final: the inner symbols (id, name, file, line, end_line) that lie in another of the
+    owners (key, id, file, line, end_line) of one key in the same file, for each of the pairs (key, name, out). Each file is one task's:
+    of a key's owners the last end up to a line tells, so no inner symbol meets them one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    files = owners.select("file", "key").distinct()
+    asked = pairs.join(files, "key").join(inner.select("file", "name").distinct(), ["file", "name"])
+    none = F.lit(None)
+    long = [F.col(c).cast("long") for c in ("id", "line", "end_line")]
+    rows = owners.select("file", F.lit(0).alias("kind"), "key", none.cast("string").alias("name"), none.cast("string").alias("out"), *long)
+    rows = rows.unionByName(inner.select("file", F.lit(1).alias("kind"), none.cast("string").alias("key"), "name", none.cast("string").alias("out"), *long))
+    rows = rows.unionByName(asked.select("file", F.lit(2).alias("kind"), "key", "name", "out", *(none.cast("long").alias(c) for c in ("id", "line", "end_line"))))
+
+    def reach(spans: list[tuple[int, int, int]]) -> tuple:
+        """By rising line: the line, the largest end so far, its id, and the largest of another id."""
+        out, first, own, second = [], None, None, None
+        for line, end, i in sorted(spans):
+            if first is None or end > first:
+                first, own, second = (end, i, first if own is not None and own != i else second)
+            elif i != own and (second is None or end > second):
+                second = end
+            out.append((line, first, own, -(2**63) if second is None else second))
+        return tuple(np.array(c, np.int64) for c in zip(*out, strict=True))
+
+    def run(batches):
+        file, spans, symbols, held, size = None, {}, {}, [], 0
+
+        def flush() -> pa.RecordBatch:
+            made = [pa.concat_arrays([pa.array([out] * len(x[0]), pa.string()) for _, out, x in held]), *(pa.array(np.concatenate([x[k] for _, _, x in held])) for k in range(3))]
+            where = pa.concat_arrays([pa.array([f] * len(x[0]), pa.string()) for f, _, x in held])
+            held.clear()
+            return pa.RecordBatch.from_arrays(made[:2] if final else [*made, where], ["out", "id"] if final else ["out", "id", "line", "end_line", "file"])
+
+        for batch in batches:
+            for f, kind, key, name, out, i, line, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if f != file:
+                    file, spans, symbols = f, {}, {}
+                if kind == 0:
+                    spans.setdefault(key, []).append((line, end, i))
+                elif kind == 1:
+                    symbols.setdefault(name, []).append((i, line, end))
+                else:
+                    if isinstance(spans[key], list):
+                        spans[key] = reach(spans[key])
+                    if isinstance(symbols[name], list):
+                        symbols[name] = tuple(np.array(c, np.int64) for c in zip(*symbols[name], strict=True))
+                    (lines, first, own, second), (ids, at, to) = spans[key], symbols[name]
+                    k = np.searchsorted(lines, at, "right") - 1
+                    hit = (k >= 0) & (np.where(own[k] != ids, first[k], second[k]) >= to)
+                    if hit.any():
+                        found = (np.unique(ids[hit]),) * 3 if final else (ids[hit], at[hit], to[hit])
+                        held.append((file, out, found))
+                        size += len(found[0])
+                        if size > 50_000:
+                            yield flush()
+                            size = 0
+        if held:
+            yield flush()
+
+    n = int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "file").sortWithinPartitions("file", "kind")
+    return dealt.mapInArrow(run, "out string, id long" + ("" if final else ", line long, end_line long, file string"))
+
+
+def contained(symbols: DataFrame, dotted: DataFrame) -> DataFrame:
     """(dotted, id): the symbols that a dotted name means by containment: its last part's definitions within one of the part before,
-    and so on, in the same file. Each step joins by file and bucket of lines, so a containing span meets only what starts in it."""
+    and so on, in the same file. Names that begin alike go their common way once."""
     defs = symbols.where("kind = 'def'").select("id", "name", "file", "line", "end_line")
-    parts = dotted.select("dotted", F.filter(F.split("dotted", r"\."), lambda x: x != "").alias("parts")).withColumn("n", F.size("parts"))
+    parts = dotted.distinct().select("dotted", F.filter(F.split("dotted", r"\."), lambda x: x != "").alias("parts")).withColumn("n", F.size("parts"))
     longest = parts.agg(F.max("n")).first()[0] or 0
-    now = parts.join(defs, F.col("name") == F.col("parts")[0]).select("dotted", "parts", "n", "id", "file", "line", "end_line")
-    out = now.where("n = 1").select("dotted", "id")
+    start = lambda k: F.array_join(F.slice("parts", 1, k), ".")
+    out = parts.where("n = 1").join(defs, F.col("name") == F.col("parts")[0]).select("dotted", "id").distinct()
+    whole = defs.dropna().distinct()
+    # Rows of an id in several files may give a name's symbol more than once.
+    several = whole.groupBy("id").agg((F.min("file") != F.max("file")).alias("several")).where("several").select("id")
+    once, again = whole.join(several, "id", "left_anti"), whole.join(several, "id", "left_semi")
+    now = whole.select(F.col("name").alias("key"), "id", "file", "line", "end_line")
     for k in range(1, min(longest, 16)):
-        spans = now.where(F.col("n") > k).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line") / width), F.floor(F.col("end_line") / width))))
-        inner = defs.select(F.col("id").alias("in_id"), F.col("name").alias("in_name"), F.col("file").alias("in_file"), F.col("line").alias("in_line"), F.col("end_line").alias("in_end"))
-        hit = (F.col("in_file") == F.col("file")) & (F.col("in_name") == F.col("parts")[k]) & (F.col("bucket") == F.floor(F.col("in_line") / width))
-        hit = hit & (F.col("in_line") >= F.col("line")) & (F.col("in_end") <= F.col("end_line")) & (F.col("in_id") != F.col("id"))
-        now = spans.join(inner, hit).select("dotted", "parts", "n", F.col("in_id").alias("id"), F.col("in_file").alias("file"), F.col("in_line").alias("line"), F.col("in_end").alias("end_line")).distinct()
-        out = out.unionByName(now.where(F.col("n") == k + 1).select("dotted", "id"))
-    return out.distinct()
+        ends = parts.where(F.col("n") == k + 1).select(start(k).alias("key"), F.col("parts")[k].alias("name"), F.col("dotted").alias("out"))
+        found = _within(now, once, ends, True).unionByName(_within(now, again, ends, True).distinct())
+        out = out.unionByName(found.select(F.col("out").alias("dotted"), "id"))
+        if k + 1 < min(longest, 16):
+            on = parts.where(F.col("n") > k + 1).select(start(k).alias("key"), F.col("parts")[k].alias("name"), start(k + 1).alias("out")).distinct()
+            now = _within(now, whole, on, False).withColumnRenamed("out", "key")
+    return out
 
 
 def file_facts(symbols: DataFrame, resolved: DataFrame) -> DataFrame:

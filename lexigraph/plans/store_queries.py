@@ -50,7 +50,7 @@ def occurrences_of_structures(t: Tables) -> DataFrame:
 
 @query(f"WITH {SYMBOLS}, q AS (SELECT DISTINCT a.name AS a, b.name AS b FROM s a, s b WHERE a.type = b.type) SELECT DISTINCT q.a || '.' || q.b AS dotted, i.id FROM q JOIN s o ON o.name = q.a JOIN s i ON i.name = q.b AND i.file = o.file AND i.line >= o.line AND i.end_line <= o.end_line AND i.id <> o.id")
 def dotted_by_containment(t: Tables) -> DataFrame:
-    s = symbols(t).select("name", "type").distinct()
+    s = symbols(t).where("name is not null").select("name", "type").distinct()
     names = s.join(s.select(F.col("name").alias("inner"), "type"), "type").select(F.concat_ws(".", "name", "inner").alias("dotted")).distinct()
     return store.contained(symbols(t), names)
 

@@ -312,3 +312,23 @@ def test_inside_as_the_plans_say(spark):
     want = sorted(map(tuple, extract.coverage_order(ranks, weights).collect()))
     assert sorted(map(tuple, extract.coverage(docs).collect())) == want
     assert {r.doc_id: r.within_band for r in extract.compressed(docs).collect()}[2]
+
+
+def test_contained_by_reach(spark):
+    """Names of one to three parts against all chains: one id in two files, equal spans, empty parts."""
+    from lexigraph.operators import store
+
+    r = random.Random(6)
+    rows = [(r.randrange(70), r.choice("xyz"), "def", r.choice("fg"), a := r.randrange(20), a + r.randrange(12)) for _ in range(90)]
+    df = spark.createDataFrame(rows, "id long, name string, kind string, file string, line long, end_line long")
+    names = ["x", "x.y", "y..x", "z.z", "x.y.z", "y.y.y", "q.x"]
+    got = sorted(map(tuple, store.contained(df, spark.createDataFrame([(n,) for n in names], "dotted string")).collect()))
+    want = set()
+    for name in names:
+        first, *rest = [p for p in name.split(".") if p]
+        now = {x for x in rows if x[1] == first}
+        for p in rest:
+            now = {y for y in rows if y[1] == p and any(x[3] == y[3] and x[4] <= y[4] and x[5] >= y[5] and x[0] != y[0] for x in now)}
+        want |= {(name, x[0]) for x in now}
+    assert got == sorted(want)
+    assert "Generate" not in store._within(df.withColumnRenamed("name", "key"), df, spark.createDataFrame([("x", "y", "x.y")], "key string, name string, out string"), True)._jdf.queryExecution().executedPlan().toString()
