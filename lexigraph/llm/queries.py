@@ -17,7 +17,7 @@ from .mixing import mix, plain_share
 from .pieces import round_trip
 from .pii import pseudonymised
 from .secrets import secret_spans
-from .shards import read_shards, training_order, write_shards
+from .shards import read_shards, training_rounds, write_rounds
 from .simhash import near_groups
 from .sketches import edited_prints
 from .toxicity import toxicity
@@ -52,7 +52,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequences as they are read back from the shards that the query writes."""
     folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     atexit.register(delete, spark, folder)
-    return read_shards(write_shards(training_order(table(spark, sf_dir)), folder), folder)
+    return read_shards(write_rounds(training_rounds(table(spark, sf_dir)), folder), folder)
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

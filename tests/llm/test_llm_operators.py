@@ -6,12 +6,15 @@ import bz2
 import collections
 import gzip
 import hashlib
+import itertools
 import lzma
 import math
 import random
 import re
 import textwrap
+import time
 import zlib
+from pathlib import Path
 from urllib.parse import quote
 
 import numpy as np
@@ -564,6 +567,49 @@ def test_shards_however_split(docs):
     assert len(part) == len({r.shard for r in part}) and [r.p for r in sorted(part)] == sorted(r.p for r in part) and len({r.p for r in part}) > 50
 
 
+def shuffle_left(spark, before: frozenset = frozenset()) -> frozenset:
+    """The shuffle files on the disks that weren't there before; files are removed beside what runs, so that is waited for."""
+    places = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    for _ in range(100 if before else 1):
+        if not (left := frozenset(f for d in places for f in d.rglob("shuffle_*.data")) - before):
+            break
+        time.sleep(0.1)
+    return left
+
+
+def test_written_shards_leave_no_shuffle(spark, docs, tmp_path):
+    q = shards.training_order(docs, length=64, slots=50)
+    before = shuffle_left(spark)
+    assert before  # that of the starts, at least
+    index = shards.write_shards(q, f"file://{tmp_path}")
+    assert not shuffle_left(spark, before)
+    assert index.count() == q.count()
+
+
+def test_shards_in_rounds(spark, docs, tmp_path):
+    """Each round moves its own run of shards only, all rounds give what one does, and no round leaves its shuffle on the disks."""
+    options, had = {"length": 64, "slots": 50}, []
+    want = {r.slot: (r.shard, r.byte_offset, r.sequence, r.n_tokens, list(r.doc_ids), bytes(r.tokens)) for r in shards.training_order(docs, **options).collect()}
+    for extra in ({}, {"broadcast_rows": 0}):
+        rounds, folder = shards.training_rounds(docs, rounds=4, **options, **extra), f"file://{tmp_path}/{len(had)}"
+        held = [{r.shard for r in q.select("shard").distinct().collect()} for q in rounds]
+        assert [sorted(x) for x in held] == [list(range(min(x), max(x) + 1)) for x in held] and sorted(set.union(*held)) == sorted(itertools.chain(*held))
+        assert max(map(len, held)) - min(map(len, held)) <= 1 and len(held) == 4
+        before = shuffle_left(spark)
+        index = shards.write_rounds(rounds, folder)
+        assert not shuffle_left(spark, before)
+        had.append({r.slot: (r.shard, r.byte_offset, r.sequence, r.n_tokens, list(r.doc_ids), bytes(r.tokens)) for r in shards.read_shards(index, folder, length=64).collect()})
+    assert had == [want, want]
+    assert spark.conf.get(shards.CLEANUP) == "false"
+    assert len(shards.training_rounds(docs.limit(0), rounds=4)) == 1
+
+
+def test_starts_from_files_move_no_tokens(docs):
+    """More starts than are broadcast are read where tokens are cut, not joined with them."""
+    plan = shards.training_order(docs, length=64, slots=50, broadcast_rows=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.load(pieces.MODEL)
